@@ -62,7 +62,7 @@ class PrefixForest:
         return tuple(np.concatenate(x) for x in out)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 24, bits: int = 32, share: float = 0.75, shard_rows: int = 8192,
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = 24, bits: int = 32, share: float = 1.25, shard_rows: int = 8192,
             seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """About the ``k`` rows of largest inner product for each row for which ``is_query`` (a condition on ``vec_id``) holds.
 

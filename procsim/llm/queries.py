@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procsim.llm import ann, mixing, packing, secrets, sharding, topk, url_filter
+from procsim.llm import ann, langid, mixing, packing, quality, secrets, sharding, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,21 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", F.col("_bad").alias("bad_score"), F.col("_label").alias("label_score"), F.col("_keep").alias("keep"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
     out = url_filter.filter_urls(table(spark, sf_dir, "pages"), bad)
     return out.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 9).alias("bad_share"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -57,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
     "op6_ann": op6_ann,
+    "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_langid": op9_langid,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}

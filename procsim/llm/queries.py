@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procsim.llm import ann, langid, mixing, packing, quality, secrets, sharding, topk, url_filter
+from procsim.llm import ann, langid, mixing, ngram_join, packing, quality, secrets, sharding, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, width=5)
+    return found.select("doc_id", F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_copies").alias("n_copies"), F.col("_keep").alias("keep"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
+    "op4_ngram_join": op4_ngram_join,
     "op5_mixing": op5_mixing,
     "op6_ann": op6_ann,
     "op7_quality": op7_quality,

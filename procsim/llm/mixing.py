@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights: list[int], most: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), most: int = 3, seed: int = 42,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """How often each document is repeated so that the sources come to their target words.
 
     A source's repetition rate is target / size. Each document is taken floor(rate) times, and
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), most: int = 3, seed: in
     size share the draws evenly, so the words taken miss the target by about one document
     instead of by a standard deviation.
 
-    Returns ``doc_id, source, size, source_size, target, copies, taken``, one row a document.
+    Returns ``doc_id, source, size, source_size, target, copies, taken`` and the columns ``keep``, one row a document.
 
     Nulls: a null text has size 0; a null source is a source of its own, last in order. Documents
     without words are taken as their draw says and add nothing. A source without words has target 0.
@@ -63,8 +63,8 @@ def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), most: int = 3, seed: in
     empty result. Columns beside the three are ignored. Reruns give the same result.
     """
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = pick(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", words.alias("size"))
-    counted = staged(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    sized = pick(docs, **{c: c for c in keep}, doc_id=id_col, text=text_col, source=source_col).select(*keep, "doc_id", "source", words.alias("size"))
+    counted = staged(sized.groupBy(*keep, "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     per_source = counted.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_docs")
     )
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), most: int = 3, seed: in
         "last": F.col("source").isNull(), "falling": -F.col("size"),
         "mark": F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))),
     })
-    placed = prefix_sums(order, ["last", "source", "falling", "mark", "doc_id"], {"rows": "n"}, "mix-rows")
+    placed = prefix_sums(order, ["last", "source", "falling", "mark", "doc_id", *keep], {"rows": "n"}, "mix-rows")
     joined = placed.join(goals.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source")))
     joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
@@ -84,5 +84,14 @@ def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), most: int = 3, seed: in
     return (
         joined.withColumn("rate", rate)
         .withColumn("copies", (F.floor("rate") + more).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(*keep, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def mixed_documents(docs: DataFrame, weights: list[int] = (1, 2, 3), most: int = 3, seed: int = 42,
+                    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents themselves, each as often as ``mix`` takes it, all columns as they were."""
+    numbered = staged(docs.drop("_row").withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    taken = mix(numbered, weights, most, seed, id_col, text_col, source_col, keep=("_row",)).filter("copies > 0")
+    taken = taken.select("_row", F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("_times"))
+    return numbered.join(taken, "_row").withColumn("_times", F.explode("_times")).select(*docs.columns)

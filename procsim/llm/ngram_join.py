@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procsim.llm.components import components
-from procsim.llm.util import staged
+from procsim.llm.util import pick, staged
 from procsim.llm.words import Vocabulary
 
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -204,46 +204,60 @@ def candidates(classes: DataFrame, crowd_from: int) -> tuple[DataFrame, DataFram
     return pairs.filter("crowd_a is null or crowd_b is null or crowd_a <> crowd_b").select("a", "b"), crowds
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 32, depth: int = 6, recall: float = 0.99999,
-                    crowd_from: int = 32, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents of similar texts: Jaccard similarity of their sets of ``width``-word shingles at or above ``threshold``.
-
-    Documents of one shingle set form a class, which its first row stands for. Each of ``trees`` prefix trees sorts the classes by
-    strings of ``depth`` minimum hashes; the prefix that has to match is shortened until a pair just at the threshold is found with
-    probability ``recall`` (all others with more). Every pair of classes that meets is then verified on the whole texts:
-    pairs of small buckets one by one; buckets of ``crowd_from`` or more are joined over the trees into crowds and verified
-    block by block, which finds the same links without listing them. No bucket is cut short.
-
-    Returns the columns of ``docs`` but the text, and ``_rid``; ``_class`` (the id of the first document, by id and row, of all that are
-    linked directly or through others), ``_keep`` (whether the row is that first one), ``_links`` (other classes linked directly) and ``_copies`` (documents of the own class).
-
-    Nulls: texts that are null or have no word are in no class with others and have no links; null ids come last in a class. Texts of under
-    ``width`` words are one shingle. Repeated rows are copies. An empty table gives an empty result. Columns
-    named like the added ones are replaced.
-    """
+def judged_rows(docs: DataFrame, threshold: float, width: int, trees: int, depth: int, recall: float, crowd_from: int, block: int,
+                id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The staged rows with ``_rid``, and ``_rid, _id, _class, _keep, _links, _copies`` of each."""
     exact = Fraction(str(threshold))
     if not 0 < exact <= 1 or width < 1:
         raise ValueError("threshold must be in (0, 1] and width >= 1")
-    docs = docs.drop("_rid", "_digest", "_keys", "_class", "_keep", "_links", "_copies")
-    rows = staged(tagged(docs, text_col, width, trees, matched_depth(threshold, trees, depth, recall)), "join-rows")
+    rows = staged(tagged(docs.drop("_rid", "_digest", "_keys"), text_col, width, trees, matched_depth(threshold, trees, depth, recall)), "join-rows")
     texts = rows.select(F.col("_rid").alias("rid"), F.col(text_col).alias("text"))
     owned = rows.filter("_digest is not null").groupBy("_digest").agg(F.min("_rid").alias("rid"), F.count(F.lit(1)).alias("copies"))
     owned = staged(owned, "join-classes")
     classes = staged(rows.select(F.col("_rid").alias("rid"), F.col("_keys").alias("keys")).join(owned.select("rid"), "rid"), "join-keys")
     pairs, crowds = candidates(classes, crowd_from)
-    found = verified_pairs(pairs, texts, exact, width).select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(0).cast("long").alias("degree"))
-    found = staged(found.withColumn("single", F.lit(1)).unionByName(crowd_links(crowds, texts, exact, width, block).withColumn("single", F.lit(0))), "join-links")
+    single = verified_pairs(pairs, texts, exact, width).select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(0).cast("long").alias("degree"))
+    crowd = crowd_links(crowds, texts, exact, width, block)
+    found = staged(single.withColumn("single", F.lit(1)).unionByName(crowd.withColumn("single", F.lit(0))), "join-links")
     links = found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     roots = components(links, "join-groups")
     ends = found.filter("single = 1").select(F.explode(F.array("node", "other")).alias("rid"), F.lit(1).cast("long").alias("degree"))
     degrees = ends.union(found.filter("other is null").select("node", "degree")).groupBy("rid").agg(F.sum("degree").alias("links"))
     known = owned.join(roots.withColumnRenamed("node", "rid"), "rid", "left").join(degrees, "rid", "left").select("_digest", "copies", "links", F.coalesce("root", "rid").alias("root"))
-    light = rows.drop("_keys", text_col)
+    light = rows.select("_rid", "_digest", F.col(id_col).alias("_id"))
     judged = light.join(known, "_digest", "left").withColumn("root", F.coalesce("root", "_rid"))
     judged = staged(judged.drop("_digest"), "join-judged")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_rid").alias("rid"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid"))
     first = judged.groupBy("root").agg(F.min(order).alias("first"))
-    return judged.join(first, "root").select(
-        *[c for c in light.columns if c != "_digest"], F.col("first.id").alias("_class"), (F.col("_rid") == F.col("first.rid")).alias("_keep"),
+    return rows, judged.join(first, "root").select(
+        "_rid", "_id", F.col("first.id").alias("_class"), (F.col("_rid") == F.col("first.rid")).alias("_keep"),
         F.coalesce("links", F.lit(0)).cast("long").alias("_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("_copies"),
     )
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 32, depth: int = 6, recall: float = 0.99999,
+                    crowd_from: int = 32, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents of similar texts: Jaccard similarity of their sets of ``width``-word shingles at or above ``threshold``.
+
+    Documents of one shingle set form a class, which its first row stands for. Each of ``trees`` prefix trees sorts the classes by
+    strings of ``depth`` minimum hashes; the prefix that has to match is shortened until a pair just at the threshold is found with
+    probability ``recall`` (all others with more). Every pair of classes that meets is then verified on the whole texts:
+    pairs of small buckets one by one; buckets of ``crowd_from`` or more are joined over the trees into crowds and verified
+    block by block, which finds the same links without listing them. No bucket is cut short.
+
+    Returns one row a document: ``doc_id, class_id`` (the id of the first document, by id and row, of all that are linked directly or
+    through others), ``n_links`` (other shingle sets linked directly), ``n_copies`` (documents of the own set) and ``keep`` (whether the row is that first one).
+
+    Nulls: texts that are null or have no word are in no class with others and have no links; null ids come last in a class. Texts of under
+    ``width`` words are one shingle. Repeated rows are copies. An empty table gives an empty result; further columns are ignored.
+    """
+    chosen = pick(docs, doc_id=id_col, text=text_col)
+    _, judged = judged_rows(chosen, threshold, width, trees, depth, recall, crowd_from, block, "doc_id", "text")
+    return judged.select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_copies").alias("n_copies"), F.col("_keep").alias("keep"))
+
+
+def deduplicate(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 32, depth: int = 6, recall: float = 0.99999,
+                crowd_from: int = 32, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one of each class of ``near_duplicates`` left, all columns as they were."""
+    rows, judged = judged_rows(docs, threshold, width, trees, depth, recall, crowd_from, block, id_col, text_col)
+    return rows.join(judged.filter("_keep").select("_rid"), "_rid", "left_semi").select(*docs.columns)

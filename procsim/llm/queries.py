@@ -34,8 +34,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, width=5)
-    return found.select("doc_id", F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_copies").alias("n_copies"), F.col("_keep").alias("keep"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, width=5)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,45 +1,12 @@
-"""Helpers shared by the operators: the shared folder, staged tables, prefix sums."""
+"""Helpers shared by the operators: choice of columns, prefix sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, and only on a local master, a temporary
-    folder of this process takes its place.
-    """
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
-    if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="procsim-")
-    return _own_folder
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: what is read later doesn't depend on executors that may be lost,
-    and values that depend on the partitioning stay as they were written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/procsim-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+from procsim.storage import staged
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -213,6 +213,6 @@ def traces_of_nets(nets: Nets, depth: int = 3, most_states: int = 200_000, secon
     )
 
 
-def extract_traces(models: Models, max_loop_depth: int = 2, most_states: int = 200_000, seconds: float | None = None) -> Traces:
+def extract_traces(models: Models, max_loop_depth: int = 2, most_states: int = 200_000, seconds: float | None = None, ids: DataFrame | None = None) -> Traces:
     """Compile, check and explore all models (O-49). Each model is explored once, however many pairs it is in; write the result before use in many queries."""
-    return traces_of_nets(compile_nets(models), max_loop_depth, most_states, seconds)
+    return traces_of_nets(compile_nets(models, ids=ids), max_loop_depth, most_states, seconds)

@@ -183,8 +183,8 @@ def close_ends(model: DataFrame, place: DataFrame, transition: DataFrame, arcs:
     return arcs, marks[0].unionByName(marks[1])
 
 
-def compile_nets(models: Models, event_labels: bool = True) -> Nets:
-    """Petri nets of all models (O-47h). Each step's tables are written in the shared folder, as the next ones read them several times."""
+def compile_nets(models: Models, event_labels: bool = True, ids: DataFrame | None = None) -> Nets:
+    """Petri nets of all models (O-47h). Each step's tables are written in the shared folder, as the next ones read them several times. ``ids`` adds models that have no rows in any table."""
     nodes, edges = (staged(x, "net") for x in flow_graph(models))
     arcs = staged(split_joins(staged(rule_arcs(nodes, edges), "net"), edges, nodes), "net")
     events = nodes.filter("role = 'EVENT'").select("model_id", F.col("id").alias("name"))
@@ -194,7 +194,8 @@ def compile_nets(models: Models, event_labels: bool = True) -> Nets:
         arcs, shown = visible_events(arcs, nodes)
         events = events.join(shown.select("model_id", F.col("id").alias("name")), ["model_id", "name"], "left_anti")
         named = named.unionByName(shown.select("model_id", F.concat(F.lit("e:"), "id").alias("name"), "label"))
-    model = models.node.select("model_id").union(models.flow.select("model_id")).union(models.pool.select("model_id")).distinct()
+    model = models.node.select("model_id").union(models.flow.select("model_id")).union(models.pool.select("model_id"))
+    model = (model if ids is None else model.union(ids.select("model_id"))).distinct()
     ends = lambda place: arcs.select("model_id", F.when(F.col("from_place") == place, F.col("src")).otherwise(F.col("dst")).alias("name"))
     place = events.unionByName(ends(True)).distinct()
     transition = ends(False).distinct().join(named.select("model_id", "name"), ["model_id", "name"], "left_anti").withColumn("label", F.lit(None).cast("string"))

@@ -36,7 +36,7 @@ def rows_of(documents: DataFrame) -> DataFrame:
             out = []
             for model, content in zip(batch["model_id"], batch["content"]):
                 try:
-                    rows = list(parse(model, content if isinstance(content, str) else bytes(content)))
+                    rows = [("model", {}), *parse(model, content if isinstance(content, str) else bytes(content))]
                 except Exception as e:  # the document's fault, whatever it is; the others go on
                     rows = [("error", {"label": f"{type(e).__name__}: {e}"[:ERROR_CHARS]})]
                 out += [(model, table, *[row.get(c) for c in columns[2:]]) for table, row in rows]
@@ -47,9 +47,10 @@ def rows_of(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class Loaded:
-    """``models`` and, per model, ``errors``, ``warnings`` and ``crossings`` (flows that cross a subprocess's boundary)."""
+    """``models``, the ``ids`` of all documents that were read, and per model ``errors``, ``warnings`` and ``crossings`` (flows that cross a subprocess's boundary)."""
 
     models: Models
+    ids: DataFrame
     errors: DataFrame
     warnings: DataFrame
     crossings: DataFrame
@@ -105,7 +106,7 @@ def finish(rows: DataFrame, strict: bool = False) -> Loaded:
         lane_member.select("model_id", "pool_id", "lane_id", "ref_id"), members,
     )
     said = lambda name: rows.filter(F.col("table") == name).select("model_id", "id", F.col("label").alias("message"))
-    return Loaded(models, said("error"), said("warning"), at.filter(crosses).select("model_id", "id", "source_ref", "target_ref", text.alias("message")))
+    return Loaded(models, of("model", "model_id string"), said("error"), said("warning"), at.filter(crosses).select("model_id", "id", "source_ref", "target_ref", text.alias("message")))
 
 
 def load_models(spark: SparkSession, path: str, strict: bool = False) -> Loaded:

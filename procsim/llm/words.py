@@ -22,15 +22,25 @@ class Vocabulary:
         """The places of the words of each text in ``table``; they hold until the next call."""
         if self.used > self.most:
             self._clear()
-        new = list(set().union(*texts) - self.place.keys()) if texts else []
-        if new:
-            rows = self.learn(new)
-            if self.table is None:
-                self.table = np.empty((max(1024, 2 * len(new)), rows.shape[1]), rows.dtype)
-            while self.used + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            self.table[self.used : self.used + len(new)] = rows
-            self.place.update(zip(new, range(self.used, self.used + len(new))))
-            self.used += len(new)
-        at = self.place.__getitem__
-        return [np.fromiter(map(at, words), np.int64, len(words)) for words in texts]
+        found, missed = [], []
+        for i, words in enumerate(texts):
+            try:  # most texts have no word that is new
+                found.append(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
+            except KeyError:
+                found.append(None)
+                missed.append(i)
+        if missed:
+            self._learn(list(set().union(*[texts[i] for i in missed]).difference(self.place)))
+            for i in missed:
+                found[i] = np.fromiter(map(self.place.__getitem__, texts[i]), np.int64, len(texts[i]))
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        rows = self.learn(words)
+        if self.table is None:
+            self.table = np.empty((max(1024, 2 * len(words)), rows.shape[1]), rows.dtype)
+        while self.used + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[self.used : self.used + len(words)] = rows
+        self.place.update(zip(words, range(self.used, self.used + len(words))))
+        self.used += len(words)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procsim.llm.vectors import best, in_shards, search_shards, usable
+from procsim.llm.vectors import best, in_shards, repeats, search_shards, usable
 
 
 class PrefixForest:
@@ -17,7 +17,7 @@ class PrefixForest:
     """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, trees: int, bits: int, share: float, seed: int):
-        self.ids, self.rows, self.k, self.bits = ids, rows, k, bits
+        self.ids, self.rows, self.k, self.bits = ids, rows, k * repeats(ids), bits
         draw = np.random.default_rng(seed)
         self.planes = draw.standard_normal((trees, bits, rows.shape[1]))
         codes = self._codes(rows)

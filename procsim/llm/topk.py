@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procsim.llm.vectors import best, in_shards, search_shards, usable
+from procsim.llm.vectors import best, in_shards, repeats, search_shards, usable
 from procsim.storage import staged
 
 EXACT = 2.0**53
@@ -16,7 +16,7 @@ class BallTree:
     """Nodes are balls; q.c + |q| r bounds the inner product of q with any row in the ball of centre c and radius r."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, leaf: int = 64):
-        self.ids, self.rows, self.k = ids, rows, k
+        self.ids, self.rows, self.k = ids, rows, k * repeats(ids)
         self.largest = np.abs(rows).max(initial=0.0)
         self.centre, self.radius, self.children, self.members = [], [], [], []
         self._grow(np.arange(len(rows)), leaf)
@@ -114,7 +114,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
         return BallTree(ids, own, k)
 
     home = staged(search_shards(rows, asked.withColumn("floor", F.lit(None).cast("double")), shards, build), "topk-home")
-    kth = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    kth = best(home, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     away = asked.withColumnRenamed("shard", "home").join(kth, asked["vec_id"] == kth["query_id"], "left")
     away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
     found = home.unionByName(search_shards(rows, away, shards, build)) if shards > 1 else home

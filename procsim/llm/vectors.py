@@ -29,7 +29,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, zero: bool) -> Data
 
 
 def in_shards(rows: DataFrame, count: int, shard_rows: int, name: str) -> tuple[DataFrame, int]:
-    """Deal rows evenly into shards; the staged rows carry their ``shard``."""
+    """Deal rows evenly into shards, whatever their ids; the staged rows carry their ``shard``."""
     shards = max(1, -(-count // shard_rows))
     return staged(rows.repartition(shards).withColumn("shard", F.spark_partition_id()), name), shards
 
@@ -73,7 +73,16 @@ def by_size(held: list[pd.DataFrame]) -> Iterator[tuple[int, tuple[np.ndarray, n
     if held:
         rows = pd.concat(held)
         for size, same in rows.groupby(rows["vector"].map(len)):
-            yield size, (same["vec_id"].to_numpy(np.int64), np.stack(same["vector"].to_numpy()))
+            ids, vectors = same["vec_id"].to_numpy(np.int64), np.stack(same["vector"].to_numpy())
+            if len(np.unique(ids)) < len(ids):  # repeated rows count once
+                once = np.unique(np.column_stack([ids.view(np.float64), vectors + 0.0]).view(f"V{8 * (size + 1)}").ravel(), return_index=True)[1]
+                ids, vectors = ids[np.sort(once)], vectors[np.sort(once)]
+            yield size, (ids, vectors)
+
+
+def repeats(ids: np.ndarray) -> int:
+    """How often the most frequent id occurs: so many times k rows hold the best k ids."""
+    return int(np.unique(ids, return_counts=True)[1].max(initial=1))
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -18,53 +23,49 @@ from procsim.storage import staged
 END_ID = 2
 
 
-class ChunkTokenizer:
+#: Characters on which both engines below surely split alike: printable ASCII, Latin letters, common punctuation.
+PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f\\u2010-\\u2026\\u20ac]")
+
+
+class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's split never crosses the place before a space that a visible character follows. So
-    a text is cut there, and each distinct chunk is encoded once (by the tokenizer itself) and
-    kept; ``most`` chunks are kept at most. Texts with other spacing are cut by a pattern instead.
+    A byte-level BPE file holds each token's bytes; a token's id is its merge's rank. With that, ``tiktoken`` gives the ids that ``tokenizers``
+    gives, five times as fast, on texts of plain characters. All other texts, and all texts if the file isn't of that kind, go to ``tokenizers``.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        import os
-        import re
-
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = re.compile(r"(?= \S)")
-        self.most, self.spaced, self.bare = most, {}, {}
-
-    def _learn(self, chunks: set[str], into: dict[str, bytes], ahead: str) -> None:
-        new = list(chunks)
-        for chunk, got in zip(new, self.tokenizer.encode_batch_fast([ahead + x for x in new], add_special_tokens=False)):
-            into[chunk] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 500):
-            block = texts[at : at + 500]
-            if len(self.spaced) + len(self.bare) > self.most:
-                self.spaced, self.bare = {}, {}
-            split, spaced, bare = [], set(), set()
-            for text in block:
-                first, *rest = text.split(" ")
-                kinds = set(rest)
-                if any(not x or x[0].isspace() for x in kinds - self.spaced.keys()):
-                    pieces = self.cut.split(text)
-                    bare.update(pieces)
-                    split.append((pieces, None))
-                else:
-                    spaced |= kinds
-                    bare.add(first)
-                    split.append(([first], rest))
-            self._learn(bare - self.bare.keys(), self.bare, "")
-            self._learn(spaced - self.spaced.keys(), self.spaced, " ")
-            for pieces, rest in split:
-                ids = b"".join(map(self.bare.__getitem__, pieces))
-                yield ids + b"".join(map(self.spaced.__getitem__, rest)) if rest else ids
+        self.fast = self._ranked(json.loads(Path(path).read_text(encoding="utf-8")))
+
+    @staticmethod
+    def _ranked(spec: dict):
+        split = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        special = {x["content"] for x in spec.get("added_tokens", [])}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        byte = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in set(shown))}
+        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is not None and not PLAIN.search(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """Loaded once in each Python worker."""
+    return Encoder(path)
 
 
 def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
@@ -75,12 +76,12 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer, end = ChunkTokenizer(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        tokens, end = encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         turn = TaskContext.get().partitionId() * 7919
         for batch in batches:
             rows: list[list[int]] = [[], [], [], [], [], []]
-            for i, ids in enumerate(tokenizer.encode([x or "" for x in batch.column("text").to_pylist()])):
-                ids += end
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids = tokens.encode(text or "") + end
                 n, start = len(ids) // 4, 0
                 for piece in range(-(-n // capacity)):
                     stop = (n - 1) % capacity + 1 + piece * capacity

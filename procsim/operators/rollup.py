@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from procsim.functions.metrics import blend, check_method, pair_weight, set_metric, weighted_mean
 from procsim.operators.items import KEYS, item_counts
+from procsim.storage import staged
 
 # Weights of families in groups, and of categories.
 GROUPS = {
@@ -31,10 +32,11 @@ def all_pairs(models: DataFrame) -> DataFrame:
 def fine_scores(items: DataFrame, pairs: DataFrame, method: str = "dice") -> DataFrame:
     """``model_a, model_b, key, n1, n2, shared, score, weight, present``: a row for each pair and family.
 
-    Multisets are joined as counts: a common item of a pair counts least(n_a, n_b) times.
+    Multisets are joined as counts: a common item of a pair counts least(n_a, n_b) times. The counts, far fewer than the items, are
+    written in the shared folder once and read for both sides.
     """
     check_method(method)
-    counts = item_counts(items)
+    counts = staged(item_counts(items), "items")
     sizes = counts.groupBy("model_id", "key").agg(F.sum("n").alias("n"))
     of_a = counts.select(F.col("model_id").alias("model_a"), "key", "item", F.col("n").alias("n_a"))
     of_b = counts.select(F.col("model_id").alias("model_b"), "key", "item", F.col("n").alias("n_b"))

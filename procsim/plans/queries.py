@@ -16,6 +16,7 @@ from procsim.operators.explore import extract_traces
 from procsim.plans import samples
 from procsim.sources import adapters
 from procsim.sources.load import load_texts, to_json
+from procsim.storage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUSTOM = {"elements": 0.4, "flows": 0.3, "organizational": 0.2, "subprocess": 0.1}
@@ -89,8 +90,13 @@ def behavioral_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 # structure
 
 
+def nation_models(spark: SparkSession, sf_dir: str) -> Models:
+    """The tables of a corpus are written once and then read by many operators, as a user would have them."""
+    return adapters.nation_models(spark, sf_dir).map(lambda name, df: staged(df, f"nation-{name}"))
+
+
 def nation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items.extract_items(adapters.nation_models(spark, sf_dir))
+    return items.extract_items(nation_models(spark, sf_dir))
 
 
 def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +174,7 @@ def breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.count_elements(adapters.nation_models(spark, sf_dir))
+    return dashboard.count_elements(nation_models(spark, sf_dir))
 
 
 def rescale_weights(spark: SparkSession, sf_dir: str, pin: str | None) -> DataFrame:

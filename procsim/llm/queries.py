@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procsim.llm import ann, langid, mixing, ngram_join, packing, quality, secrets, sharding, topk, url_filter
+from procsim.llm.oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+__all__ = ["ORACLES", "QUERIES", "table", "tokenizer_path"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_packing": op2_packing,
@@ -76,4 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}

@@ -38,4 +38,40 @@ row_number() OVER (PARTITION BY s.source ORDER BY size DESC, md5('42:' || coales
 CAST('0x' || substr(md5('42:' || coalesce(s.source, 'null')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS phase FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + floor((k + 1) * (rate - floor(rate)) + phase) - floor(k * (rate - floor(rate)) + phase)) AS BIGINT) AS taken FROM d"""
 
-ORACLES = {"op1_topk": TOP_K, "op3_sharding": SHARDS, "op4_ngram_join": NEAR, "op5_mixing": MIX}
+SECRETS = """WITH k(rank, kind, form, least) AS (VALUES (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', NULL), (1, 'access', 'AKIA[A-Z0-9]{14,}', NULL), (2, 'hex', '[0-9a-f]{16,}', NULL),
+(3, 'entropy_hex', '[0-9A-Fa-f]{20,}', 2.8), (4, 'entropy_base64', '[A-Za-z0-9+/_=-]{20,}', 3.8)),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+z AS (SELECT doc_id, rank, kind, form, least, string_split_regex(text, form) AS parts, regexp_extract_all(text, form) AS hits FROM d, k),
+u AS (SELECT doc_id, rank, kind, form, least, unnest(hits) AS hit, unnest(parts[1:len(hits)]) AS part, generate_subscripts(hits, 1) AS i FROM z),
+h AS (SELECT *, sum(length(part)) OVER w + sum(length(hit)) OVER w - length(hit) AS beg FROM u WINDOW w AS (PARTITION BY doc_id, rank ORDER BY i)),
+b AS (SELECT doc_id, rank, kind, beg, beg + length(hit) AS stop FROM h WHERE rank < 3 AND (rank > 0 OR length(regexp_extract(hit, form, 2)) >= 12)),
+c AS (SELECT * FROM h WHERE rank > 2 AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|^[^0-9]*$|^[^A-Za-z]*$|^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{1,4}$')),
+v AS (SELECT doc_id, rank, kind, beg AS base, least, hit, unnest(range(0, length(hit) - 19)) AS j FROM c),
+e AS (SELECT doc_id, rank, kind, base + min(j) AS beg, base + max(j) + 20 AS stop FROM (SELECT *, list_aggregate(string_split(substr(hit, j + 1, 20), ''), 'entropy') AS bits FROM v) WHERE bits >= least - 1e-9 GROUP BY doc_id, rank, kind, base, hit),
+s AS (SELECT * FROM b UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = e.doc_id AND b.beg < e.stop AND e.beg < b.stop))
+SELECT d.doc_id, count(*) FILTER (s.rank = 0) AS n_assign, count(*) FILTER (s.rank = 1) AS n_access, count(*) FILTER (s.rank = 2) AS n_hex,
+sha256(coalesce(string_agg(s.kind || ':' || CAST(s.beg AS VARCHAR) || ':' || CAST(s.stop AS VARCHAR), ',' ORDER BY s.beg, s.rank) FILTER (s.rank < 3), '')) AS base_sha256,
+coalesce(string_agg(s.kind || ':' || CAST(s.beg AS VARCHAR) || ':' || CAST(s.stop AS VARCHAR), ',' ORDER BY s.beg, s.rank), '') AS spans FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+URL_BASE = r"""p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+q AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+(\.[A-Za-z]{1,5})?$') THEN regexp_replace(x, '^[0-9]+', '{n}')
+WHEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '^[0-9A-Za-z_-]{6,}(\.[A-Za-z]{1,5})?$') THEN regexp_replace(x, '^[0-9A-Za-z_-]+', '{id}') ELSE x END) AS whole,
+TRY_CAST(regexp_extract(path, '(?:^|/)([0-9]+)(?:[.][A-Za-z]{1,5})?(?:/|$)', 1) AS BIGINT) AS number FROM p),
+b AS (SELECT page_id, host, path, number, CASE WHEN len(whole) > 4 THEN whole[1:4] || ['**'] ELSE whole END AS parts FROM q),
+m AS (SELECT doc_id AS number, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY 1),
+c0 AS (SELECT host, parts, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS tree FROM b LEFT JOIN m ON m.number = b.number GROUP BY host, parts)"""
+URL_LEVEL = """k{i} AS (SELECT host, tree, parts[{i}] AS own, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM c{j} WHERE parts[{i}] IS NOT NULL GROUP BY ALL),
+a{i} AS (SELECT host, tree, count(*) AS kinds, sum(n) AS all_n, sum(labelled) AS all_labelled, sum(bad) AS all_bad FROM k{i} GROUP BY ALL),
+s{i} AS (SELECT k.host, k.tree, k.own, CASE WHEN kinds > 20 AND all_n < 2 * kinds OR kinds > 1 AND (labelled = 0 OR all_labelled = labelled OR
+abs(bad / labelled - (all_bad - bad) / (all_labelled - labelled)) <= 2.58 * sqrt(all_bad / all_labelled * (1 - all_bad / all_labelled) * (1 / labelled + 1 / (all_labelled - labelled)))) THEN '*' ELSE k.own END AS step FROM k{i} k JOIN a{i} a ON a.host = k.host AND a.tree = k.tree),
+c{i} AS (SELECT c.host, c.parts, c.n, c.labelled, c.bad, CASE WHEN step IS NULL THEN c.tree ELSE c.tree || '/' || step END AS tree FROM c{j} c LEFT JOIN s{i} s ON s.host = c.host AND s.tree = c.tree AND s.own = c.parts[{i}])"""
+URL_RULES = (("block", "example.org", "/en/1"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("allow", "org", "/"))
+URLS = f"""WITH {URL_BASE}, {", ".join(URL_LEVEL.format(i=i, j=i - 1) for i in range(1, 6))},
+w AS (SELECT CASE WHEN sum(labelled) > 0 THEN (sum(bad) + 1) / (sum(labelled) + 2) ELSE 0.0 END AS base FROM c5), h AS (SELECT host, sum(labelled) AS l, sum(bad) AS b FROM c5 GROUP BY 1),
+t AS (SELECT c.host, c.tree, CAST((sum(c.bad) + 5.0 * (any_value(h.b) + 5.0 * any_value(base)) / (any_value(h.l) + 5.0)) / (sum(c.labelled) + 5.0) AS DOUBLE) AS share FROM c5 c JOIN h ON h.host = c.host, w GROUP BY 1, 2),
+r AS (SELECT b.page_id, b.host, b.path, c.tree, t.share, CASE {" ".join(f"WHEN (b.host = '{h}' OR suffix(b.host, '.{h}')) AND prefix(b.path, '{p}') THEN '{v} {h}{p}'" for v, h, p in URL_RULES)} END AS hit
+FROM b JOIN c5 c ON c.host = b.host AND c.parts = b.parts JOIN t ON t.host = c.host AND t.tree = c.tree)
+SELECT page_id, host, path, string_split(hit, ' ')[2] AS rule, coalesce(string_split(hit, ' ')[1], CASE WHEN share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, tree AS template, round(share, 9) AS bad_share FROM r"""
+
+ORACLES = {"op1_topk": TOP_K, "op3_sharding": SHARDS, "op4_ngram_join": NEAR, "op5_mixing": MIX, "op8_url_filter": URLS, "op10_secrets": SECRETS}

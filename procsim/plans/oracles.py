@@ -175,6 +175,13 @@ def stage_stats(source: str, stages: tuple[str, ...]) -> str:
     return " UNION ALL ".join(one.format(s=s, f=source) for s in stages)
 
 
+#: By hand from the rules: between an event and a gateway stands nothing, a gateway that splits all ways has a place for each, a choice one for all.
+EVENTS = "pin:s e:s, e:s pout:s, pout:s g1, t:g2->e pin:e, pin:e e:e, e:e pout:e"
+NET_ARCS = {
+    "both.bpmn": f"{EVENTS}, g1 p:g1->a, p:g1->a a, g1 p:g1->b, p:g1->b b, a p:a->g2, p:a->g2 g2, b p:b->g2, p:b->g2 g2, g2 p:g2->e, p:g2->e t:g2->e",
+    "choice.bpmn": f"{EVENTS}, g1 gout:g1, gout:g1 a, gout:g1 b, a gin:g2, b gin:g2, gin:g2 g2, g2 gout:g2, gout:g2 t:g2->e",
+}
+
 ORACLES: dict[str, str] = {
     "trace_variants": f"WITH {CASES} SELECT model_id, array_to_string(trace, '>') AS trace, count(*) AS n FROM cases GROUP BY ALL",
     "trace_stats": f"WITH {CASES} {stats('tr')}",
@@ -231,6 +238,11 @@ round(CASE WHEN n1 + n2 > 0 THEN score ELSE 0 END, 6) AS score, n1 + n2 > 0 AS p
         *[(f"{m}", n, 0, 0, "sound", f"sound: {n} variant(s)") for m, n in (("both.bpmn", 2), ("choice.bpmn", 2), ("claim.bpmn", 2), ("editor.json", 2), ("empty.bpmn", 1), ("line.bpmn", 1), ("renamed.bpmn", 1))],
         ("loop.bpmn", 2, 1, 0, "unsound_recovered", "2 sound variant(s), 1 partial trace(s); 1 loop-cap hit(s)"), ("nojoin.bpmn", 0, 4, 1, "unsound_no_variants", "0 sound variant(s), 4 partial trace(s); 1 distinct deadlock marking(s)")),
     "net_findings": rows("model_id VARCHAR, issue VARCHAR, node_id VARCHAR", ("cut", "isolated_node", "a"), ("cut", "dead_transition_no_preset", "a"), ("cut", "unreachable_from_source", "a"), ("cut", "cannot_reach_sink", "a")),
+    "net_arcs": rows("model_id VARCHAR, src VARCHAR, dst VARCHAR, weight INTEGER", *[(m, a, b, 1) for m, text in NET_ARCS.items() for a, b in (x.split(" ") for x in text.split(", "))]),
+    "name_mapping_models": rows("model_a VARCHAR, model_b VARCHAR, scope VARCHAR, name2 VARCHAR, name1 VARCHAR, score DOUBLE",
+        *[("line.bpmn", b, k, n, n, 1) for b, k, n in (("choice.bpmn", "activity", "Pick"), ("choice.bpmn", "activity", "Pack"), ("choice.bpmn", "event", "Begin"), ("choice.bpmn", "event", "Done"), ("renamed.bpmn", "event", "Begin"), ("renamed.bpmn", "event", "Done"))]),
+    "mapping_summary": rows("model_a VARCHAR, model_b VARCHAR, category VARCHAR, matches BIGINT", ("line.bpmn", "choice.bpmn", "activity", 2), ("line.bpmn", "choice.bpmn", "event", 2), ("line.bpmn", "renamed.bpmn", "event", 2)),
+    "model_json": rows("model_id VARCHAR, document VARCHAR", ("empty.bpmn", '{"activities":[],"events":[{"id":"s","name":"Begin","type":"StartNoneEvent"},{"id":"e","name":"Done","type":"EndNoneEvent"}],"gateways":[],"pools":[],"sequenceFlows":[{"id":"f0","sourceRef":"s","targetRef":"e"}],"messageFlows":[]}')),
     "report_health": f"""WITH {RUNS} SELECT count(*) AS total, count(*) FILTER (fine) AS fine, count(*) FILTER (NOT fine) AS failed, count(*) FILTER (fine AND (late_a OR late_b)) AS timed_out,
 round(100.0 * count(*) FILTER (NOT fine) / CAST(count(*) AS DOUBLE), 6) AS failed_percent, round(100.0 * count(*) FILTER (fine AND (late_a OR late_b)) / CAST(count(*) AS DOUBLE), 6) AS timed_out_percent FROM rt""",
     "report_sizes": f"WITH {RUNS} SELECT min(size) AS min_size, round(quantile_cont(size, 0.5), 6) AS median_size, round(quantile_cont(size, 0.95), 6) AS p95_size, max(size) AS max_size FROM ms",

@@ -229,7 +229,8 @@ def judged_rows(docs: DataFrame, threshold: float, width: int, trees: int, depth
     judged = light.join(known, "_digest", "left").withColumn("root", F.coalesce("root", "_rid"))
     judged = staged(judged.drop("_digest"), "join-judged")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid"))
-    first = judged.groupBy("root").agg(F.min(order).alias("first"))
+    # written, so that the join below is one of two plain exchanges, which Spark can split at a large class
+    first = staged(judged.groupBy("root").agg(F.min(order).alias("first")), "join-firsts")
     return rows, judged.join(first, "root").select(
         "_rid", "_id", F.col("first.id").alias("_class"), (F.col("_rid") == F.col("first.rid")).alias("_keep"),
         F.coalesce("links", F.lit(0)).cast("long").alias("_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("_copies"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,16 +17,18 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Only where the session names none, and only on a local master, a temporary
-    folder of this process takes its place.
+    folder of this process takes its place; it goes when the process ends.
     """
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
     if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="procsim-")
+        made = tempfile.mkdtemp(prefix="procsim-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _own_folder = f"file://{made}"
     return _own_folder
 
 

@@ -18,10 +18,11 @@ BASE_KINDS = ("assign", "access", "hex")
 
 #: kind -> candidate characters, bits a character that a window must reach.
 CLASSES = {"entropy_hex": ("0-9A-Fa-f", 2.8), "entropy_base64": ("A-Za-z0-9+/_=-", 3.8)}
-#: Candidates that are no secrets: UUIDs, dates and times, version-like numbers, and whatever has no digit or no letter.
+#: Dates are cut out of candidates.
+DATE = r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}"
+#: Candidates that are no secrets: UUIDs, version-like numbers, and whatever has no digit or no letter.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}",
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{1,4}$",
@@ -53,6 +54,18 @@ def span(start: Column, rank: int, length: Column) -> Column:
     return F.array(F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), (start + length).cast("bigint").alias("end")))
 
 
+def remaining(start: Column, end: Column, cuts: Column) -> Column:
+    """The spans that ``cuts``, ordered by start, leave of the one from ``start`` to ``end``."""
+    inside = F.filter(cuts, lambda c: (c["start"] < end) & (start < c["end"]))
+
+    def step(acc: Column, c: Column) -> Column:
+        left = F.when(acc["at"] < c["start"], F.concat(acc["found"], span(acc["at"], 0, c["start"] - acc["at"]))).otherwise(acc["found"])
+        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), left.alias("found"))
+
+    state = F.struct(start.cast("bigint").alias("at"), F.array().cast(NONE).alias("found"))
+    return F.aggregate(inside, state, step, lambda acc: F.when(acc["at"] < end, F.concat(acc["found"], span(acc["at"], 0, end - acc["at"]))).otherwise(acc["found"]))
+
+
 def entropy_span(hit: Column, width: int, least: float) -> Column:
     """``from`` of the first and ``to`` of the last window of ``width`` characters with ``least`` bits a character or more; ``to`` 0 if none.
 
@@ -97,7 +110,10 @@ def scan_secrets(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_
     Base spans come from three patterns (assignments, access keys, lower-case hexadecimal runs). The
     method adds spans: in runs of each character class of at least ``width`` characters, windows of
     ``width`` characters slide by one; from the first window whose Shannon entropy reaches the class's
-    bits to the last is a span, unless the run is on the allow-list or touches a base span.
+    bits to the last is a span, unless the run is on the allow-list. Base spans and dates are cut out of
+    a run, and each part left is a candidate by itself, allow-list (separators at its ends aside) and all.
+    A hexadecimal run is one number, so that its windows run over base spans and what those leave
+    of its span is found, however short.
 
     Returns ``doc_id``, the columns ``keep`` and ``spans``: an array of (start, kind, end) ordered by start and then by kind as listed,
     in code points, end exclusive.
@@ -115,18 +131,39 @@ def scan_secrets(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_
     })
     found = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
 
-    def wide(rank: int, least: float) -> Callable[[Column, Column], Column]:
+    allowed = "|".join(ALLOW)
+
+    def hot(at: Column, text: Column, rank: int, least: float) -> Column:
+        part = F.transform(F.array(entropy_span(text, width, least)), lambda w: F.struct((at + w["from"]).alias("start"), F.lit(rank).alias("rank"), (at + w["to"]).alias("end")))
+        return F.filter(part, lambda w: w["end"] > at).cast(NONE)
+
+    def number(rank: int, least: float) -> Callable[[Column, Column], Column]:
         def each(at: Column, hit: Column) -> Column:
-            allowed = hit.rlike("|".join(ALLOW))
-            part = F.transform(F.array(entropy_span(hit, width, least)), lambda w: F.struct((at + w["from"]).alias("start"), F.lit(rank).alias("rank"), (at + w["to"]).alias("end")))
-            return F.when(allowed, F.array().cast(NONE)).otherwise(F.filter(part, lambda w: w["end"] > at).cast(NONE))
+            left = F.flatten(F.transform(hot(at, hit, rank, least), lambda w: remaining(w["start"], w["end"], F.col("base"))))
+            ranked = F.transform(left, lambda w: F.struct(w["start"].alias("start"), F.lit(rank).alias("rank"), w["end"].alias("end")))
+            return F.when(hit.rlike(allowed), F.array().cast(NONE)).otherwise(ranked.cast(NONE))
+
+        return each
+
+    def parts(rank: int, least: float) -> Callable[[Column, Column], Column]:
+        def each(at: Column, hit: Column) -> Column:
+            dates = occurrences(hit, DATE, lambda start, date: span(at + start, 0, F.length(date)))
+            left = remaining(at, at + F.length(hit), F.array_sort(F.concat("base", dates)))
+            left = F.filter(left, lambda p: p["end"] - p["start"] >= width)
+
+            def spans(p: Column) -> Column:
+                size = (p["end"] - p["start"]).cast("int")
+                part = F.substring(hit, (p["start"] - at).cast("int") + 1, size)
+                bare = F.when(size < F.length(hit), F.regexp_replace(part, "^[+/_=-]+|[+/_=-]+$", "")).otherwise(part)
+                return F.when(bare.rlike(allowed), F.array().cast(NONE)).otherwise(hot(p["start"], part, rank, least))
+
+            return F.flatten(F.transform(left, spans))
 
         return each
 
     for i, (kind, (chars, least)) in enumerate(CLASSES.items()):
-        found = found.withColumn(kind, occurrences(F.col("text"), f"[{chars}]{{{width},}}", wide(len(BASE_KINDS) + i, least)))
-        clear = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-        found = found.withColumn(kind, F.filter(kind, clear))
+        each = number if kind == "entropy_hex" else parts
+        found = found.withColumn(kind, occurrences(F.col("text"), f"[{chars}]{{{width},}}", each(len(BASE_KINDS) + i, least)))
     spans = F.array_sort(F.concat("base", *CLASSES))
     names = F.array(*[F.lit(k) for k in kinds])
     spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.get(names, s["rank"]).alias("kind"), s["end"].alias("end")))

@@ -165,3 +165,30 @@ def test_redaction(spark):
     got = {r["doc_id"]: r for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
     assert got[1]["text"] == "é [SECRET] end [SECRET]" and got[1]["n_chars"] == 23
     assert got[2]["text"] == "clean" and got[3]["text"] is None
+
+
+TOKEN = "Zx9kQ2mW7vB4nL8pR1tY6uJ3sD5fG0hKqXcVbNmE"
+GLUED = {
+    f"id 1234567890123456789-{TOKEN} end": [TOKEN],
+    f"AKIAABCDEFGHIJKLMN-{TOKEN}": [TOKEN],
+    f"see /2024/01/15/{TOKEN}": [TOKEN],
+    f"{TOKEN}_2024-01-15_{TOKEN[::-1]}": [TOKEN, TOKEN[::-1]],
+    "x DEADBEEF0123456789abcdef0123 y": ["DEADBEEF"],
+}
+CLEAN = ["/2024/01/15/a-title-of-many-plain-words-42", "2024-01-15/123e4567-e89b-12d3-a456-426614174000", "/static/app/main/0123456789abcdef0123-plain-words-after-it"]
+
+
+def test_secrets_beside_base_spans_and_dates(spark):
+    """What base patterns and dates leave of a run is a candidate of its own."""
+    texts = [*GLUED, *CLEAN]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(rows).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows).collect()}
+    for i, text in enumerate(texts):
+        assert all(s["start"] < s["end"] for s in found[i])
+        for token in GLUED.get(text, []):
+            at = text.index(token)
+            covered = {k for s in found[i] for k in range(s["start"], s["end"])}
+            assert set(range(at, at + len(token))) <= covered and token not in clean[i]
+        if text in CLEAN:
+            assert not [s for s in found[i] if s["kind"].startswith("entropy")]

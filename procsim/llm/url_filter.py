@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,46 +33,53 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
     return rule, verdict
 
 
-def segments(path: Column, depth: int) -> Column:
-    """The path's segments with numbers and identifiers made wildcards; those past ``depth`` become one ``**``."""
+def segments(path: Column) -> Column:
+    """The path's segments with numbers and identifiers made wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(
+    return F.transform(
         parts,
         lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$"), F.regexp_replace(s, "^[0-9]+", "{n}"))
         .when(s.rlike("[0-9]") & s.rlike(r"^[0-9A-Za-z_-]{6,}(\.[A-Za-z]{1,5})?$"), F.regexp_replace(s, "^[0-9A-Za-z_-]+", "{id}"))
         .otherwise(s),
     )
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
-def template_verdicts(counts: DataFrame, depth: int, spread: int, z: float, prior: float, purity: float) -> DataFrame:
+def template_verdicts(counts: DataFrame, spread: int, z: float, prior: float, purity: float) -> DataFrame:
     """Verdicts of templates: ``host, parts, n, labelled, bad`` in, ``host, parts, template, block`` out.
 
-    The tree is walked down one level at a time. At a node, children that are many and thin
+    The tree is walked down one level at a time, until no row has a further segment. Rows leave the walk
+    where they end, and where a single row goes on under a node, which takes its own segments. At a node, children that are many and thin
     (over ``spread`` of them with under two rows each on average) are a variable segment; else a child
     whose labelled share of bad rows is within ``z`` standard errors of that of its siblings merges
     with them into the wildcard branch. A template's share is smoothed by ``prior`` rows at the
     host's share, itself smoothed towards the global share; ``purity`` or more rejects it.
     """
-    level = staged(counts.withColumn("tree", F.lit("")), "url-level")
-    for at in range(1, depth + 2):
-        own = F.get(F.col("parts"), F.lit(at - 1))
-        child = level.withColumn("own", own)
+    level = staged(counts.withColumns({"tree": F.lit(""), "more": F.size("parts") > 0}), "url-level")
+    deepest = level.agg(F.max(F.size("parts"))).first()[0] or 0
+    ended = [level.filter("not more").drop("more")]
+    for at in range(1, deepest + 1):
+        child = level.filter("more").withColumn("own", F.get(F.col("parts"), F.lit(at - 1)))
+        if child.isEmpty():
+            break
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        children = child.filter("own is not null").groupBy("host", "tree", "own").agg(*sums)
-        parents = children.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
+        children = child.groupBy("host", "tree", "own").agg(F.count(F.lit(1)).alias("rows"), *sums)
+        parents = children.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("rows", "n", "labelled", "bad")])
         rest_n, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         pooled = F.col("all_bad") / F.col("all_labelled")
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_n))
         alike = (F.col("labelled") == 0) | (rest_n == 0) | (F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - F.try_divide(rest_bad, rest_n)) <= z * error)
         thin = (F.col("kinds") > spread) & (F.col("all_n") < 2 * F.col("kinds"))
         merged = children.join(parents, ["host", "tree"]).select(
-            "host", "tree", "own", F.when(thin | ((F.col("kinds") > 1) & F.when((F.col("labelled") > 0) & (rest_n > 0), alike).otherwise(True)), F.lit("*")).otherwise(F.col("own")).alias("step")
-        )
-        level = child.join(merged, ["host", "tree", "own"], "left").select(
-            "host", "parts", "n", "labelled", "bad", F.when(F.col("step").isNull(), F.col("tree")).otherwise(F.concat("tree", F.lit("/"), "step")).alias("tree")
+            "host", "tree", "own", ((F.col("all_rows") == 1) & F.lit(spread > 0)).alias("alone"),
+            F.when(thin | ((F.col("kinds") > 1) & F.when((F.col("labelled") > 0) & (rest_n > 0), alike).otherwise(True)), F.lit("*")).otherwise(F.col("own")).alias("step"),
+        )
+        step = F.when(F.col("alone"), F.array_join(F.slice("parts", at, deepest), "/")).otherwise(F.col("step"))
+        level = child.join(merged, ["host", "tree", "own"]).select(
+            "host", "parts", "n", "labelled", "bad", F.concat("tree", F.lit("/"), step).alias("tree"), (~F.col("alone") & (F.size("parts") > at)).alias("more")
         )
         level = staged(level, "url-level")
+        ended.append(level.filter("not more").drop("more"))
+    level = reduce(DataFrame.unionByName, ended)
     sums = [F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
     whole = level.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"whole_{c}") for c in ("labelled", "bad")])
     hosts = level.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
@@ -82,7 +91,7 @@ def template_verdicts(counts: DataFrame, depth: int, spread: int, z: float, prio
     return level.select("host", "parts", "tree").join(trees, ["host", "tree"]).withColumnRenamed("tree", "template")
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, depth: int = 4, spread: int = 20,
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, spread: int = 20,
                 z: float = 2.58, prior: float = 5.0, purity: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judge URLs by host rules, and where none fits by the labelled purity of their path template.
 
@@ -98,14 +107,14 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str
     """
     host, path = host_and_path(F.col("url"))
     base = pick(pages, page_id=id_col, url=url_col).select("page_id", host.alias("host"), path.alias("path"))
-    base = base.withColumn("parts", segments(F.col("path"), depth))
+    base = base.withColumn("parts", segments(F.col("path")))
     number = F.expr(r"try_cast(regexp_extract(path, '(?:^|/)([0-9]+)(?:[.][A-Za-z]{1,5})?(?:/|$)', 1) AS bigint)")
     marks = pick(labels, number="doc_id", bad="bad").filter("number is not null and bad is not null").groupBy("number").agg(F.max("bad").cast("long").alias("bad"))
     labelled = base.withColumn("number", number).join(marks, "number", "left")
     counts = labelled.groupBy("host", "parts").agg(
         F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    verdicts = template_verdicts(counts, depth, spread, z, prior, purity)
+    verdicts = template_verdicts(counts, spread, z, prior, purity)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_tree = F.when(F.col("block"), "block").otherwise("allow")
     return base.join(verdicts, ["host", "parts"], "left").select(

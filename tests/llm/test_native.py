@@ -113,6 +113,21 @@ def test_template_tree(spark):
     } == {("junk", "block"), ("news", "allow"), ("blog", "allow")}
 
 
+def test_deep_templates(spark):
+    """Branches are told apart however deep they are, and a long path by itself keeps its segments."""
+    pages = [(i, f"http://h.net/en/blog/may/x/y/{'casino' if i % 2 else 'health'}/{i}.html") for i in range(200)]
+    pages += [(1000, "http://h.net/en/blog/may/x/y/" + "z/" * 60), (1001, "http://k.net/" + "/".join("abcdefgh"))]
+    labels = [(i, i % 2) for i in range(200)]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, bad int"))
+    rows = {r["page_id"]: r for r in got.collect()}
+    assert len(rows) == 202
+    assert {(rows[i]["template"], rows[i]["verdict"]) for i in range(200)} == {
+        ("/en/blog/may/x/y/casino/{n}.html", "block"), ("/en/blog/may/x/y/health/{n}.html", "allow")
+    }
+    assert rows[1000]["template"] == "/en/blog/may/x/y/*" + "/z" * 59
+    assert rows[1001]["template"] == "/a/b/c/d/e/f/g/h"
+
+
 TEXTS = [
     "password=abcdefghijkl and token: short", "SeCrEt\" : 'aaaa/bbbb+cccc", "password=secret : abcdefghijklmnop", "AKIAABCDEFGHIJKLMN AKIA123", "éé deadbeefdeadbeef0 ff",
     "api_key==abcdefabcdefabcdef0123", None, "", "x" * 100_000, "plain words, nothing else 12345678901234567890123", "Zx9kQ2mW7vB4nL8pR1tY6uJ3 is odd", "id 123e4567-e89b-12d3-a456-426614174000 ok", "DEADBEEF0123456789AB and",

@@ -58,7 +58,7 @@ class Shingles:
 
 
 class Forest:
-    """Signatures: per tree a string of ``depth`` minimum hashes; keys are hashes of (tree, prefix)."""
+    """Signatures: per tree (a band) a string of ``depth`` minimum hashes; keys are hashes of (tree, whole string)."""
 
     def __init__(self, trees: int, depth: int, seed: int = 1):
         draw = np.random.default_rng(seed)
@@ -80,7 +80,7 @@ class Forest:
 
 
 def matched_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """Shorten the matched prefix from ``depth`` until a pair at the threshold meets in a tree with probability ``recall`` (1 at least)."""
+    """Length of the bands: ``depth``, shortened until a pair at the threshold meets in a tree with probability ``recall`` (1 at least)."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tre
                     crowd_from: int = 32, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents of similar texts: Jaccard similarity of their sets of ``width``-word shingles at or above ``threshold``.
 
-    Documents of one shingle set form a class, which its first row stands for. Each of ``trees`` prefix trees sorts the classes by
-    strings of ``depth`` minimum hashes; the prefix that has to match is shortened until a pair just at the threshold is found with
-    probability ``recall`` (all others with more). Every pair of classes that meets is then verified on the whole texts:
+    Documents of one shingle set form a class, which its first row stands for. Classes meet by fixed banding: in each of ``trees``
+    bands by equal strings of minimum hashes, of one length worked out before any data is seen, ``depth`` or as much less as lets a pair just
+    at the threshold be found with probability ``recall`` (all others with more). Every pair of classes that meets is then verified on the whole texts:
     pairs of small buckets one by one; buckets of ``crowd_from`` or more are joined over the trees into crowds and verified
     block by block, which finds the same links without listing them. No bucket is cut short.
 

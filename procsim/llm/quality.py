@@ -22,7 +22,7 @@ LABELLERS = {
     "symbols": (0.07, 0.12),  # of visible characters, those neither letter nor digit
     "marked_words": (0.04, 0.20),  # words that end in a run of one symbol
     "stutter": (0.05, 0.20),  # words that repeat the one before
-    "monotony": (0.45, 0.65),  # one less the share of distinct words in stretches of 100
+    "monotony": (0.45, 0.65),  # one less the share of distinct words in stretches of 100, the last of them counted from the end
     "separators": (0.03, 0.15),  # words without letter or digit
     "long_words": (0.80, 0.95),  # words of over three letters among words of letters
     "repeated_lines": (0.25, 0.60),  # lines seen before in the text
@@ -33,7 +33,7 @@ BUCKETS = 12
 
 def shape_of(word: str) -> str:
     """Letters to a (a capital first: A), digits to 0, runs of one kind to two at most."""
-    kinds = ["a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]]
+    kinds = ["a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
     if word[:1].isupper():
         kinds[0] = "A"
     return re.sub(r"(.)\1+", r"\1\1", "".join(kinds), flags=re.S)
@@ -68,8 +68,10 @@ class Measures:
             if shape not in self.shapes:
                 if len(self.shapes) > 100_000:
                     self.shapes = {}
-                self.shapes[shape] = bucket_of(f"shape:{shape}", self.dimensions)
-            rows[i, 0] = self.shapes[shape]
+                bucket = bucket_of(f"shape:{shape}", self.dimensions)
+                if len(shape) <= 64:  # long ones hardly come again
+                    self.shapes[shape] = bucket
+            rows[i, 0] = self.shapes[shape] if len(shape) <= 64 else bucket
         return rows
 
     def measure(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,7 +88,8 @@ class Measures:
                 if n >= 8:
                     got[2] = (places[1:] == places[:-1]).mean()
                 if n >= 50:
-                    full = np.sort(places[: n - n % 100].reshape(-1, 100) if n >= 100 else places[None, :], axis=1)
+                    full = places[: n - n % 100].reshape(-1, 100) if n >= 100 else places[None, :]
+                    full = np.sort(np.vstack([full, places[-100:]]) if n > 100 and n % 100 else full, axis=1)
                     got[3] = 1 - ((np.diff(full, axis=1) != 0).sum() + len(full)) / full.size
                 if sums[5] >= 10:
                     got[5] = sums[6] / sums[5]

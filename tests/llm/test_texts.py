@@ -155,6 +155,17 @@ def test_quality(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) >= 0.9 * len(bad)
 
 
+def test_measures_read_whole_texts():
+    """The words past the last full hundred count, and so do the characters of a word past the 64th."""
+    text = " ".join([f"w{i}" for i in range(100)] + ["same"] * 99)
+    (got, _, _), (plain, _, _) = quality.Measures(4096).measure([text, " ".join(f"w{i}" for i in range(199))])
+    assert got[3] == pytest.approx(1 - (100 + 2) / 200) and plain[3] == 0
+    assert quality.shape_of("x" * 64 + "12-") == "aa00-"
+    long = ["-a" * 40, "-a" * 40 + "7"]
+    rows = quality.Measures(4096)._learn([*long, *long])
+    assert rows[0, 0] == rows[2, 0] != rows[1, 0] == rows[3, 0]
+
+
 def test_quality_of_odd_texts(spark):
     rows = [(1, ""), (2, None), (3, "ok"), (4, "word " * 50_000), (5, "a b c d e f g h"), (6, "\n\n\n\n")] * 2
     got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -28,7 +28,7 @@ LABELLERS = {
     "repeated_lines": (0.25, 0.60),  # lines seen before in the text
     "digits": (0.10, 0.35),  # of visible characters
 }
-BUCKETS = 12
+BUCKETS = 24  # of measures from 0 to 1
 
 
 def shape_of(word: str) -> str:
@@ -100,7 +100,7 @@ class Measures:
                 values = np.sqrt(times / n)
             else:
                 shape, values = np.empty(0, np.int32), np.empty(0)
-            bucket = np.where(np.isnan(got), BUCKETS + 1, np.minimum(np.nan_to_num(got) * 2 * BUCKETS, BUCKETS)).astype(int)
+            bucket = np.where(np.isnan(got), BUCKETS + 1, np.minimum(np.nan_to_num(got) * BUCKETS, BUCKETS)).astype(int)
             named = np.array([self.names[m][b] for m, b in enumerate(bucket)])
             yield got, np.r_[shape, named], np.r_[values, np.ones(len(named))]
 

@@ -166,6 +166,13 @@ def test_measures_read_whole_texts():
     assert rows[0, 0] == rows[2, 0] != rows[1, 0] == rows[3, 0]
 
 
+def test_scorer_sees_high_measures():
+    """A measure's good and bad limits fall into buckets of their own."""
+    texts = [" ".join(["long"] * k + ["to"] * (100 - k)) for k in (80, 95)]
+    one, two = (places[-len(quality.LABELLERS) :] for _, places, _ in quality.Measures(4096).measure(texts))
+    assert one[list(quality.LABELLERS).index("long_words")] != two[list(quality.LABELLERS).index("long_words")]
+
+
 def test_quality_of_odd_texts(spark):
     rows = [(1, ""), (2, None), (3, "ok"), (4, "word " * 50_000), (5, "a b c d e f g h"), (6, "\n\n\n\n")] * 2
     got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -34,9 +34,9 @@ w AS (SELECT *, i % 3 + 1 AS weight, CAST(3 * source_size AS DOUBLE) AS cap, CAS
 v AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - (sum(cap) OVER q - cap)) / (CAST(sum(weight) OVER () AS DOUBLE) - (sum(weight) OVER q - weight)) AS level FROM w WINDOW q AS (ORDER BY ratio, source NULLS FIRST)),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, ratio) FROM v WHERE level <= ratio), 0) * weight) AS target FROM v),
 d AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(3.0, t.target / t.source_size) ELSE 0.0 END AS rate,
-row_number() OVER (PARTITION BY s.source ORDER BY size DESC, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id) - 1 AS k,
-CAST('0x' || substr(md5('42:' || coalesce(s.source, 'null')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS phase FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + floor((k + 1) * (rate - floor(rate)) + phase) - floor(k * (rate - floor(rate)) + phase)) AS BIGINT) AS taken FROM d"""
+row_number() OVER (PARTITION BY s.doc_id, s.source, s.size) - 1 AS k FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', '42', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(source, 'null'), CAST(size AS VARCHAR), CAST(k AS VARCHAR))), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS draw FROM d)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM b"""
 
 SECRETS = """WITH k(rank, kind, form, least) AS (VALUES (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', NULL), (1, 'access', 'AKIA[A-Z0-9]{14,}', NULL), (2, 'hex', '[0-9a-f]{16,}', NULL),
 (3, 'entropy_hex', '[0-9A-Fa-f]{20,}', 2.8), (4, 'entropy_base64', '[A-Za-z0-9+/_=-]{20,}', 3.8)),
@@ -58,20 +58,25 @@ regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FRO
 q AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+(\.[A-Za-z]{1,5})?$') THEN regexp_replace(x, '^[0-9]+', '{n}')
 WHEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '^[0-9A-Za-z_-]{6,}(\.[A-Za-z]{1,5})?$') THEN regexp_replace(x, '^[0-9A-Za-z_-]+', '{id}') ELSE x END) AS whole,
 TRY_CAST(regexp_extract(path, '(?:^|/)([0-9]+)(?:[.][A-Za-z]{1,5})?(?:/|$)', 1) AS BIGINT) AS number FROM p),
-b AS (SELECT page_id, host, path, number, CASE WHEN len(whole) > 4 THEN whole[1:4] || ['**'] ELSE whole END AS parts FROM q),
+b AS (SELECT page_id, host, path, number, whole AS parts FROM q),
 m AS (SELECT doc_id AS number, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY 1),
 c0 AS (SELECT host, parts, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS tree FROM b LEFT JOIN m ON m.number = b.number GROUP BY host, parts)"""
 URL_LEVEL = """k{i} AS (SELECT host, tree, parts[{i}] AS own, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM c{j} WHERE parts[{i}] IS NOT NULL GROUP BY ALL),
 a{i} AS (SELECT host, tree, count(*) AS kinds, sum(n) AS all_n, sum(labelled) AS all_labelled, sum(bad) AS all_bad FROM k{i} GROUP BY ALL),
-s{i} AS (SELECT k.host, k.tree, k.own, CASE WHEN kinds > 20 AND all_n < 2 * kinds OR kinds > 1 AND (labelled = 0 OR all_labelled = labelled OR
-abs(bad / labelled - (all_bad - bad) / (all_labelled - labelled)) <= 2.58 * sqrt(all_bad / all_labelled * (1 - all_bad / all_labelled) * (1 / labelled + 1 / (all_labelled - labelled)))) THEN '*' ELSE k.own END AS step FROM k{i} k JOIN a{i} a ON a.host = k.host AND a.tree = k.tree),
+e{i} AS (SELECT k.host, k.tree, own, kinds, all_n, n, labelled, bad, bad / labelled - (all_bad - bad) / (all_labelled - labelled) AS off, CASE WHEN labelled = 0 OR all_labelled = labelled OR
+abs(off) <= 2.58 * sqrt(all_bad / all_labelled * (1 - all_bad / all_labelled) * (1 / labelled + 1 / (all_labelled - labelled))) THEN '*' WHEN off < 0 THEN '*-' ELSE '*+' END AS side FROM k{i} k JOIN a{i} a ON a.host = k.host AND a.tree = k.tree),
+g{i} AS (SELECT host, tree, side, count(*) AS c, CAST(sum(labelled) AS DOUBLE) AS l, CAST(sum(bad) AS DOUBLE) AS b, sum(CASE WHEN labelled > 0 THEN bad * bad / labelled END) AS q FROM e{i} GROUP BY ALL),
+s{i} AS (SELECT e.host, e.tree, e.own, CASE WHEN kinds > 20 AND all_n < 2 * kinds THEN '*' WHEN e.side = '*' THEN CASE WHEN kinds > 1 THEN '*' ELSE own END
+WHEN g.c > 1 AND (g.b = 0 OR g.b = g.l OR (g.q - g.b * g.b / g.l) / (g.b / g.l * (1 - g.b / g.l)) <= g.c - 1 + 2.58 * sqrt(2.0 * (g.c - 1))) THEN e.side ELSE own END AS step FROM e{i} e JOIN g{i} g ON g.host = e.host AND g.tree = e.tree AND g.side = e.side),
 c{i} AS (SELECT c.host, c.parts, c.n, c.labelled, c.bad, CASE WHEN step IS NULL THEN c.tree ELSE c.tree || '/' || step END AS tree FROM c{j} c LEFT JOIN s{i} s ON s.host = c.host AND s.tree = c.tree AND s.own = c.parts[{i}])"""
 URL_RULES = (("block", "example.org", "/en/1"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("allow", "org", "/"))
-URLS = f"""WITH {URL_BASE}, {", ".join(URL_LEVEL.format(i=i, j=i - 1) for i in range(1, 6))},
-w AS (SELECT CASE WHEN sum(labelled) > 0 THEN (sum(bad) + 1) / (sum(labelled) + 2) ELSE 0.0 END AS base FROM c5), h AS (SELECT host, sum(labelled) AS l, sum(bad) AS b FROM c5 GROUP BY 1),
-t AS (SELECT c.host, c.tree, CAST((sum(c.bad) + 5.0 * (any_value(h.b) + 5.0 * any_value(base)) / (any_value(h.l) + 5.0)) / (sum(c.labelled) + 5.0) AS DOUBLE) AS share FROM c5 c JOIN h ON h.host = c.host, w GROUP BY 1, 2),
+#: Segments that the SQL walks; the operator walks all.
+URL_DEPTH = 8
+URLS = f"""WITH {URL_BASE}, {", ".join(URL_LEVEL.format(i=i, j=i - 1) for i in range(1, URL_DEPTH + 1))},
+w AS (SELECT CASE WHEN sum(labelled) > 0 THEN (sum(bad) + 1) / (sum(labelled) + 2) ELSE 0.0 END AS base FROM c{URL_DEPTH}), h AS (SELECT host, sum(labelled) AS l, sum(bad) AS b FROM c{URL_DEPTH} GROUP BY 1),
+t AS (SELECT c.host, c.tree, CAST((sum(c.bad) + 5.0 * (any_value(h.b) + 5.0 * any_value(base)) / (any_value(h.l) + 5.0)) / (sum(c.labelled) + 5.0) AS DOUBLE) AS share FROM c{URL_DEPTH} c JOIN h ON h.host = c.host, w GROUP BY 1, 2),
 r AS (SELECT b.page_id, b.host, b.path, c.tree, t.share, CASE {" ".join(f"WHEN (b.host = '{h}' OR suffix(b.host, '.{h}')) AND prefix(b.path, '{p}') THEN '{v} {h}{p}'" for v, h, p in URL_RULES)} END AS hit
-FROM b JOIN c5 c ON c.host = b.host AND c.parts = b.parts JOIN t ON t.host = c.host AND t.tree = c.tree)
+FROM b JOIN c{URL_DEPTH} c ON c.host = b.host AND c.parts = b.parts JOIN t ON t.host = c.host AND t.tree = c.tree)
 SELECT page_id, host, path, string_split(hit, ' ')[2] AS rule, coalesce(string_split(hit, ' ')[1], CASE WHEN share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, tree AS template, round(share, 9) AS bad_share FROM r"""
 
 ORACLES = {"op1_topk": TOP_K, "op3_sharding": SHARDS, "op4_ngram_join": NEAR, "op5_mixing": MIX, "op8_url_filter": URLS, "op10_secrets": SECRETS}

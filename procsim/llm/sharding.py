@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procsim.llm.util import pick, prefix_sums
+from procsim.llm.util import expanded, pick, prefix_sums
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -19,7 +19,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     Returns ``doc_id, size, text_crc32, shard, slot``: slot is the place in the shard, gapless from 0.
 
     Nulls: a null text has size 1 and CRC 0; null ids come first. Repeated rows are counted, ranged
-    once and then expanded, so a hot row is no hot task; rows of equal id are ordered by size and
+    once and then dealt out in blocks, so a hot row is no hot task; rows of equal id are ordered by size and
     CRC. An empty table gives an empty result. Columns beside the two are ignored.
     """
     if shards < 1:
@@ -30,7 +30,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     )
     counted = sized.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     placed = prefix_sums(counted, ["doc_id", "size", "text_crc32"], {"rows": "n", "bytes": F.col("size") * F.col("n")}, "shard")
-    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = expanded(placed)
     start = F.col("bytes_before") + F.col("copy") * F.col("size")
     placed = placed.select(
         "doc_id", "size", "text_crc32",

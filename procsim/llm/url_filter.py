@@ -49,9 +49,10 @@ def template_verdicts(counts: DataFrame, spread: int, z: float, prior: float, pu
 
     The tree is walked down one level at a time, until no row has a further segment. Rows leave the walk
     where they end, and where a single row goes on under a node, which takes its own segments. At a node, children that are many and thin
-    (over ``spread`` of them with under two rows each on average) are a variable segment; else a child
-    whose labelled share of bad rows is within ``z`` standard errors of that of its siblings merges
-    with them into the wildcard branch. A template's share is smoothed by ``prior`` rows at the
+    (over ``spread`` of them with under two rows each on average) are a variable segment; else children
+    whose labelled share of bad rows is within ``z`` standard errors of that of their siblings merge
+    into the wildcard branch ``*``. Those clearly under it merge into ``*-``, and those clearly over it into ``*+``, if their
+    shares spread no more than chance would have it (chi-squared). A template's share is smoothed by ``prior`` rows at the
     host's share, itself smoothed towards the global share; ``purity`` or more rejects it.
     """
     level = staged(counts.withColumns({"tree": F.lit(""), "more": F.size("parts") > 0}), "url-level")
@@ -65,14 +66,20 @@ def template_verdicts(counts: DataFrame, spread: int, z: float, prior: float, pu
         children = child.groupBy("host", "tree", "own").agg(F.count(F.lit(1)).alias("rows"), *sums)
         parents = children.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("rows", "n", "labelled", "bad")])
         rest_n, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        pooled = F.col("all_bad") / F.col("all_labelled")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_n))
-        alike = (F.col("labelled") == 0) | (rest_n == 0) | (F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - F.try_divide(rest_bad, rest_n)) <= z * error)
+        pooled = F.try_divide(F.col("all_bad"), F.col("all_labelled"))
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), rest_n)))
+        off = F.try_divide(F.col("bad"), F.col("labelled")) - F.try_divide(rest_bad, rest_n)
+        alike = (F.col("labelled") == 0) | (rest_n == 0) | (F.abs(off) <= z * error)
+        children = children.join(parents, ["host", "tree"]).withColumn("side", F.when(alike, "*").when(off < 0, "*-").otherwise("*+"))
+        square = F.try_divide(F.col("bad") * F.col("bad"), F.col("labelled"))
+        sides = children.groupBy("host", "tree", "side").agg(F.count(F.lit(1)).alias("of_side"), F.sum("labelled").alias("side_labelled"), F.sum("bad").alias("side_bad"), F.sum(square).alias("side_square"))
+        share, free = F.try_divide(F.col("side_bad"), F.col("side_labelled")), F.col("of_side") - 1
+        spreading = F.try_divide(F.col("side_square") - F.col("side_bad") * share, share * (1 - share))
+        even = (share == 0) | (share == 1) | (spreading <= free + z * F.sqrt(2 * free))
         thin = (F.col("kinds") > spread) & (F.col("all_n") < 2 * F.col("kinds"))
-        merged = children.join(parents, ["host", "tree"]).select(
-            "host", "tree", "own", ((F.col("all_rows") == 1) & F.lit(spread > 0)).alias("alone"),
-            F.when(thin | ((F.col("kinds") > 1) & F.when((F.col("labelled") > 0) & (rest_n > 0), alike).otherwise(True)), F.lit("*")).otherwise(F.col("own")).alias("step"),
-        )
+        step = F.when(thin, "*").when(F.col("side") == "*", F.when(F.col("kinds") > 1, "*").otherwise(F.col("own")))
+        step = step.when((F.col("of_side") > 1) & even, F.col("side")).otherwise(F.col("own"))
+        merged = children.join(sides, ["host", "tree", "side"]).select("host", "tree", "own", ((F.col("all_rows") == 1) & F.lit(spread > 0)).alias("alone"), step.alias("step"))
         step = F.when(F.col("alone"), F.array_join(F.slice("parts", at, deepest), "/")).otherwise(F.col("step"))
         level = child.join(merged, ["host", "tree", "own"]).select(
             "host", "parts", "n", "labelled", "bad", F.concat("tree", F.lit("/"), step).alias("tree"), (~F.col("alone") & (F.size("parts") > at)).alias("more")

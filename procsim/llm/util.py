@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: choice of columns, prefix sums."""
+"""Helpers shared by the operators: choice of columns, copies of rows, prefix sums."""
 
 from __future__ import annotations
 
@@ -18,6 +18,17 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+def expanded(counted: DataFrame, copies: str = "n", number: str = "copy", block: int = 4096) -> DataFrame:
+    """A row for each of the ``copies`` (1 or more) that a row stands for, numbered from 0.
+
+    Copies are dealt out in blocks, so that those of a hot row are made by many tasks.
+    """
+    n, size = F.col(copies), F.lit(block).cast("long")
+    blocks = counted.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, size)))
+    blocks = blocks.repartition(shuffle_partitions(counted.sparkSession))
+    return blocks.withColumn(number, F.explode(F.sequence(F.col("_first"), F.least(n, F.col("_first") + size) - 1))).drop("_first")
+
+
 def prefix_sums(df: DataFrame, keys: list[str], sums: dict[str, str | Column], name: str) -> DataFrame:
     """Add, for each entry of ``sums``, the total over all rows before this one in the order of ``keys``
     (``<entry>_before``) and the total over all rows (``<entry>_total``).

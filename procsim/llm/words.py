@@ -8,19 +8,19 @@ import numpy as np
 
 
 class Vocabulary:
-    """Rows of numbers for words; each distinct word is worked out once, ``most`` words are kept at most between blocks of texts."""
+    """Rows of numbers for words; each distinct word is worked out once. Between blocks of texts ``most`` words, of ``most_chars`` characters in all, are kept at most."""
 
-    def __init__(self, learn: Callable[[list[str]], np.ndarray], most: int = 400_000):
-        self.learn, self.most = learn, most
+    def __init__(self, learn: Callable[[list[str]], np.ndarray], most: int = 400_000, most_chars: int = 16_000_000):
+        self.learn, self.most, self.most_chars = learn, most, most_chars
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.table, self.used = None, 0
+        self.table, self.used, self.chars = None, 0, 0
 
     def look_up(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The places of the words of each text in ``table``; they hold until the next call."""
-        if self.used > self.most:
+        if self.used > self.most or self.chars > self.most_chars:
             self._clear()
         found, missed = [], []
         for i, words in enumerate(texts):
@@ -44,3 +44,4 @@ class Vocabulary:
         self.table[self.used : self.used + len(words)] = rows
         self.place.update(zip(words, range(self.used, self.used + len(words))))
         self.used += len(words)
+        self.chars += sum(map(len, words))

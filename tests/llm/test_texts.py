@@ -128,7 +128,7 @@ def test_ngram_join(spark, crowd_from, block):
         texts += [" ".join(own), " ".join(own[:-1]), " ".join(own).upper()]
     texts += [texts[3]] * 20 + ["", None, "  ", "one", "one", "Two words"]
     rows = list(enumerate(texts))
-    frame = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, root long, rid long").repartition(6)
+    frame = spark.createDataFrame([(i, t, 0, 0, 1, "x") for i, t in rows], "doc_id long, text string, root long, rid long, _rid int, row string").repartition(6)
     got = {r["doc_id"]: r for r in ngram_join.near_duplicates(frame, crowd_from=crowd_from, block=block).collect()}
     expected = brute(rows)
     assert {i: (r["class_id"], r["n_links"], r["n_copies"]) for i, r in got.items()} == {i: expected.get(i, (i, 0, 1)) for i, _ in rows}
@@ -143,7 +143,52 @@ def test_join_of_nothing_and_nulls(spark):
     rows = [(None, "same words here"), (5, "same words here"), (5, "same words here"), (None, None)]
     got = [tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, schema)).collect()]
     assert sorted(x[1] is None for x in got) == [False, False, False, True] and sum(x[4] for x in got) == 2
-    assert ngram_join.matched_depth(0.8, 32, 6, 0.99999) == 5
+    assert ngram_join.shortest_prefix(0.8, 32, 0.99999) == 5
+
+
+def test_prefixes_are_shortened_as_the_data_ask(spark):
+    """Copies that are nearly the same are found by long prefixes; links near the threshold make all trees ascend."""
+    draw = random.Random(9)
+    words = lambda n: [draw.choice("abcdefghij") + draw.choice("klmnop") + str(draw.randint(0, 999)) for _ in range(n)]
+
+    def reached(changes, recall):
+        texts = []
+        for _ in range(120):
+            own = words(400)
+            copy = list(own)
+            for i in range(changes):
+                copy[(i + 1) * (400 // (changes + 1))] = "new"
+            texts += [" ".join(own), " ".join(copy)]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        _, judged, length = ngram_join.judged_rows(frame, 0.8, 5, 32, recall, 32, 256, "doc_id", "text")
+        assert judged.filter("links = 1").count() == 240 * (changes <= 8)
+        return length
+
+    assert reached(1, 0.9999) == 8 and reached(8, 0.9999) in (6, 7) and reached(8, 0.99999) == 5
+
+
+def test_crowds_of_unlike_sizes(spark):
+    """A crowd whose sets differ in size is compared by neighbouring size classes only and loses no link."""
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for n in range(60, 400, 4):
+        for _ in range(2):
+            copy = base[:n]
+            copy[draw.randrange(n)] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in ngram_join.near_duplicates(frame, crowd_from=3, block=10).collect()}
+    expected = brute(list(enumerate(texts)))
+    assert got == {i: expected[i] for i in got}
+
+
+def test_very_long_words(spark):
+    """Texts without blanks are held by the byte, not by the word."""
+    texts = ["a" * 3_000_000, "a" * 3_000_000, "b" * 3_000_000, "b" * 2_999_999 + " c"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["class_id"] for r in ngram_join.near_duplicates(frame).collect()) == [0, 0, 2, 3]
+    assert quality.classify(frame).count() == 4
 
 
 def test_quality(spark):

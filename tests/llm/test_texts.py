@@ -259,19 +259,18 @@ def test_language_without_learning(spark):
     assert langid.identify(rows.limit(0)).count() == 0
 
 
-def test_code_lengths_by_hand(spark):
-    """Escapes and symbols of the trees against a plain walk down from the longest context."""
-    words, order = ["abab", "abc", "ba"], 2
+def plain_ppm(texts, order):
+    """Code length of a text by a walk down from the longest context, byte by byte."""
     counts = defaultdict(lambda: defaultdict(int))
-    for w in words:
-        b = b" " + w.encode()
-        for i in range(1, len(b)):
+    for text in texts:
+        b = text.encode()
+        for i in range(len(b)):
             for o in range(min(i, order) + 1):
                 counts[b[i - o : i]][b[i]] += 1
 
-    def bits(word):
-        total, b = 0.0, b" " + word.encode()
-        for i in range(1, len(b)):
+    def bits(text):
+        total, b = 0.0, text.encode()
+        for i in range(len(b)):
             for o in range(min(i, order), -1, -1):
                 seen = counts.get(b[i - o : i])
                 if not seen:
@@ -285,10 +284,52 @@ def test_code_lengths_by_hand(spark):
                 total += 8
         return total
 
-    docs = spark.createDataFrame([(1, " ".join(words), "xx")], "doc_id long, text string, lang string")
+    return bits
+
+
+@pytest.mark.parametrize("order", [0, 2, 4])
+def test_whole_documents_by_hand(spark, order, monkeypatch):
+    """Code lengths, predictions and scores of whole documents: contexts run across words, case and blanks count, chunks don't show."""
+    monkeypatch.setattr(langid, "CHUNK", 64)
+    known = {"aa": ["The cat  sat on\nthe mat. " * 3, "a Cat, THE hat"], "bb": ["Der Hund saß auf dem Dach.\t" * 2, "über dem Hut der Hund"]}
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(learnt[i], t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in known.items() for t in ts)]
+    asked = ["the Hat sat", "Der  hut", "xyz\n\n über THE", "日本 the", "q" * 300, "The cat " * 40]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    rows += [(held[i], t, None) for i, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    plain = {lang: plain_ppm(ts, order) for lang, ts in known.items()}
     model = langid.fit(docs, order, 10**6)
-    asked = ["abab", "abd", "zz", "c", "baab"]
-    assert model.bits(asked)[:, 0] == pytest.approx([bits(w) for w in asked])
+    expected = np.array([[plain[lang](t) for lang in ("aa", "bb")] for t in asked])
+    assert model.languages == ["aa", "bb"] and model.bits(asked) / langid.UNIT == pytest.approx(expected, abs=0.01)
+    got = {r["doc_id"]: r for r in langid.identify(docs, order=order).collect()}
+    for i, bits in enumerate(expected):
+        row = got[held[i]]
+        assert row["lang_pred"] == ("aa", "bb")[bits.argmin()]
+        assert row["score"] == pytest.approx(1 / np.exp2(bits.min() - bits).sum(), abs=0.01)
+
+
+def test_sample_of_distinct_whole_texts(spark):
+    """A repeated text counts once, and a language of one huge text is learnt all the same."""
+    rows = [(i, "same text again", "aa") for i in range(500)] + [(1000 + i, f"other words {i}", "aa") for i in range(40)]
+    rows += [(5000 + 4 * i, "ein langer Text " * 2000, "bb") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sample_of(docs, 200, 10**9, 4).collect()
+    assert len(sample) == len(set(sample)) and {r["lang"] for r in sample} == {"aa", "bb"}
+    assert 100 <= sum(len(r["text"]) for r in sample if r["lang"] == "aa") <= 200
+
+
+def test_very_long_texts_in_bounded_memory(spark):
+    """A text of megabytes without a blank takes some hundred bytes a byte of a chunk, not of the text."""
+    import tracemalloc
+
+    docs = spark.createDataFrame([(1, "some words here " * 50, "aa"), (4, "andere Worte " * 50, "bb")], "doc_id long, text string, lang string")
+    model = langid.fit(docs, 4, 10**6)
+    text = "QmFzZTY0" * 1_000_000
+    tracemalloc.start()
+    model.bits([text])
+    assert tracemalloc.get_traced_memory()[1] < 10 * len(text)
+    tracemalloc.stop()
 
 
 def test_pipeline(spark):

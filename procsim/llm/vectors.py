@@ -34,16 +34,16 @@ def in_shards(rows: DataFrame, count: int, shard_rows: int, name: str) -> tuple[
     return staged(rows.repartition(shards).withColumn("shard", F.spark_partition_id()), name), shards
 
 
-def search_shards(rows: DataFrame, asked: DataFrame, shards: int, build: Callable[[np.ndarray, np.ndarray], Index]) -> DataFrame:
+def search_shards(rows: DataFrame, asked: DataFrame, shards: int, build: Callable[[np.ndarray, np.ndarray], Index], score: str) -> DataFrame:
     """Search each shard for the queries sent to it.
 
     ``rows``: vec_id, vector, shard; ``asked``: vec_id, vector, shard, floor. A shard's rows and the queries that come
-    to it meet in one task, rows first; a task holds one shard's rows and one batch of queries at a time.
+    to it meet in one task, rows first, and each shard has a task of its own; a task holds its shard's rows and one batch of queries at a time.
     Vectors are compared with vectors of the same length only.
     """
     both = rows.select("shard", F.lit(0).alias("kind"), "vec_id", "vector", F.lit(None).cast("double").alias("floor"))
     both = both.unionByName(asked.select("shard", F.lit(1).alias("kind"), "vec_id", "vector", "floor"))
-    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
+    dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, held, built = None, [], None
@@ -63,10 +63,10 @@ def search_shards(rows: DataFrame, asked: DataFrame, shards: int, build: Callabl
                     if size not in built:
                         continue
                     ids = own["vec_id"].to_numpy(np.int64)
-                    q, found, score = built[size].search(ids, np.stack(own["vector"].to_numpy()), own["floor"].to_numpy(np.float64))
-                    yield pd.DataFrame({"query_id": ids[q], "vec_id": found, "score": score})
+                    q, found, scores = built[size].search(ids, np.stack(own["vector"].to_numpy()), own["floor"].to_numpy(np.float64))
+                    yield pd.DataFrame({"query_id": ids[q], "vec_id": found, "score": scores})
 
-    return dealt.mapInPandas(run, "query_id long, vec_id long, score double")
+    return dealt.mapInPandas(run, f"query_id long, vec_id long, score {score}")
 
 
 def by_size(held: list[pd.DataFrame]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
@@ -80,11 +80,6 @@ def by_size(held: list[pd.DataFrame]) -> Iterator[tuple[int, tuple[np.ndarray, n
             yield size, (ids, vectors)
 
 
-def repeats(ids: np.ndarray) -> int:
-    """How often the most frequent id occurs: so many times k rows hold the best k ids."""
-    return int(np.unique(ids, return_counts=True)[1].max(initial=1))
-
-
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, ties to the smaller id, ranked from 1; a row found twice counts once."""
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -24,15 +24,15 @@ def docs(spark):
 
 def test_encoder_gives_the_tokenizers_ids(docs):
     plain, fast = Tokenizer.from_file(PATH), packing.encoder(PATH)
-    plain.encode_special_tokens = True
-    odd = ["", " ", "  a \n\n b ", "<|endoftext|> x", "a\u00a0b \u3000c", "“x” — é it's I'LL 12 34", "日本語 текст", "\x1c \x85 x", "a" * 5000, "\ufeff\u200b"]
+    assert fast.fast is not None
+    odd = [f"{x} x{x}" for x in fast.added] + ["", " ", "  a \n\n b ", "<|endoftext|> x", "a\u00a0b \u3000c", "“x” — é it's I'LL 12 34", "日本語 текст", "\x1c \x85 x", "a" * 5000, "\ufeff\u200b"]
     for text in odd + [r["text"] for r in docs.collect()]:
         assert fast.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @pytest.mark.parametrize("group_rows", [40, 16_384])
 def test_packing(spark, docs, group_rows):
-    extra = spark.createDataFrame([(None, "a b", 1), (7, None, 2), (7, None, 2), (8, "", 3)], "doc_id long, text string, length long")
+    extra = spark.createDataFrame([(None, "a b", 1), (9, "<|endoftext|> x", 1), (7, None, 2), (7, None, 2), (8, "", 3)], "doc_id long, text string, length long")
     given = docs.select("doc_id", "text", F.lit(0).cast("long").alias("length")).unionByName(extra)
     rows = packing.pack(given, PATH, group_rows=group_rows).collect()
     plain = Tokenizer.from_file(PATH)
@@ -57,6 +57,8 @@ def test_packing(spark, docs, group_rows):
             at += length
         assert at <= 1024
     least = packing.lower_bound(np.array([r["length"] for r in rows]), 1024)
+    report = packing.packing_report(packing.pack(given, PATH, group_rows=group_rows))
+    assert report["bound"] == least and abs(report["sequences"] - len(sequences)) <= 1
     assert least <= len(sequences) <= 1.05 * least + 3 * (len(rows) // group_rows + 1)
     assert packing.pack(given.limit(0), PATH).count() == 0
 

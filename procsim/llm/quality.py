@@ -74,10 +74,10 @@ class Measures:
             rows[i, 0] = self.shapes[shape] if len(shape) <= 64 else bucket
         return rows
 
-    def measure(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per text: the measures (NaN where there is too little), and places and values of its features."""
+    def measure(self, texts: list[str], featured: list[bool] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text: the measures (NaN where there is too little), and places and values of its features (none where ``featured`` is false)."""
         words = [x.split() for x in texts]
-        for text, places in zip(texts, self.vocabulary.look_up(words)):
+        for i, (text, places) in enumerate(zip(texts, self.vocabulary.look_up(words))):
             n = len(places)
             got = np.full(len(LABELLERS), np.nan)
             if n:
@@ -96,6 +96,10 @@ class Measures:
                 lines = [x for x in text.split("\n") if x.strip()]
                 if len(lines) >= 4:
                     got[6] = 1 - len(set(lines)) / len(lines)
+            if featured is not None and not featured[i]:
+                yield got, np.empty(0, np.int32), np.empty(0)
+                continue
+            if n:
                 shape, times = np.unique(rows[:, 0], return_counts=True)
                 values = np.sqrt(times / n)
             else:
@@ -168,10 +172,10 @@ def fit_linear(rows: list[tuple[list[int], list[float]]], bad: np.ndarray, dimen
 
 
 def train(docs: DataFrame, dimensions: int, sample_rows: int) -> tuple[LabelModel, np.ndarray]:
-    """Fit both models on ``text``: the votes of all documents are counted; the scorer learns from at most ``sample_rows``."""
-    rows = docs.count()
-    mark = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 30))
-    marked = docs.select("text", mark.alias("mark")).withColumn("picked", F.col("mark") < min(1.0, sample_rows / max(1, rows)) * (1 << 30))
+    """Fit both models on ``text``: the votes of all documents are counted; the scorer learns from at most ``sample_rows`` distinct texts."""
+    marked = docs.select("text", F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 40)).alias("mark"))
+    kinds = marked.agg(F.approx_count_distinct("mark", 0.02)).first()[0]  # a tenth more than asked is marked, as this number is a little off
+    marked = marked.withColumn("picked", F.col("mark") < int(min(1.0, 1.1 * sample_rows / max(1, kinds)) * (1 << 40)))
     schema = T.StructType([T.StructField("mark", T.LongType()), T.StructField("pattern", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +184,7 @@ def train(docs: DataFrame, dimensions: int, sample_rows: int) -> tuple[LabelMode
             texts, picked = [x or "" for x in batch.column("text").to_pylist()], batch.column("picked").to_pylist()
             patterns, places, values = [], [], []
             for at in range(0, len(texts), 500):
-                for use, (got, place, value) in zip(picked[at:], measures.measure(texts[at : at + 500])):
+                for use, (got, place, value) in zip(picked[at:], measures.measure(texts[at : at + 500], picked[at : at + 500])):
                     patterns.append(votes_of(got))
                     places.append(place.astype(np.int32) if use else None)
                     values.append(value.astype(np.float32) if use else None)
@@ -190,7 +194,7 @@ def train(docs: DataFrame, dimensions: int, sample_rows: int) -> tuple[LabelMode
     voted = staged(marked.mapInArrow(run, schema), "quality-votes")
     counted = voted.groupBy("pattern").count().toPandas()  # at most 3 to the number of labellers
     model = LabelModel.fit(counted["pattern"].to_numpy(np.int64), counted["count"].to_numpy(float))
-    sample = voted.filter("places is not null").orderBy("mark", "pattern").limit(sample_rows).collect()
+    sample = voted.filter("places is not null").dropDuplicates(["mark"]).orderBy("mark").limit(sample_rows).collect()
     bad = model.posterior(np.array([r["pattern"] for r in sample], np.int64))
     return model, fit_linear([(r["places"], r["values"]) for r in sample], bad, dimensions)
 
@@ -199,7 +203,7 @@ def classify(docs: DataFrame, threshold: float = 0.5, dimensions: int = 4096, sa
     """Score the documents; their columns stay and ``_bad, _label, _keep`` are added.
 
     Heuristic labellers vote good or bad on each whole text or abstain. Expectation-maximisation over the vote patterns of all
-    documents estimates the labellers' accuracies without any label. The posteriors of at most ``sample_rows`` documents (picked by a hash of the text; a bound of
+    documents estimates the labellers' accuracies without any label. The posteriors of at most ``sample_rows`` distinct texts (picked by a hash; a bound of
     the fit alone) train a logistic scorer on hashed features: word shapes and bucketed measures. ``_bad`` is the scorer's
     probability of bad, ``_label`` the label model's posterior, ``_keep`` whether ``_bad`` is under ``threshold``.
 

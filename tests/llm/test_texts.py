@@ -202,6 +202,93 @@ def test_quality(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) >= 0.9 * len(bad)
 
 
+def plain_measures(text):
+    """The labellers' measures by their definitions."""
+    words, seen = text.split(), [c for w in text.split() for c in w]
+    out = dict.fromkeys(quality.LABELLERS)
+    if words:
+        out["symbols"] = sum(not c.isalnum() for c in seen) / len(seen)
+        out["digits"] = sum(c.isdigit() for c in seen) / len(seen)
+        out["marked_words"] = sum(len(w) > 2 and w[-1] == w[-2] and not w[-1].isalnum() for w in words) / len(words)
+        out["separators"] = sum(not any(map(str.isalnum, w)) for w in words) / len(words)
+    if len(words) >= 8:
+        out["stutter"] = sum(a == b for a, b in zip(words, words[1:])) / (len(words) - 1)
+    if len(words) >= 50:
+        runs = [words] if len(words) < 100 else [words[i : i + 100] for i in range(0, len(words) - 99, 100)]
+        if len(words) > 100 and len(words) % 100:
+            runs.append(words[-100:])
+        out["monotony"] = 1 - sum(len(set(r)) for r in runs) / sum(map(len, runs))
+    bare = [b for w in words for b in [w if w.isalpha() else w.strip(".,;:!?\"'()")] if b.isalpha()]
+    if len(bare) >= 10:
+        out["long_words"] = sum(len(b) > 3 for b in bare) / len(bare)
+    lines = [x for x in text.split("\n") if x.strip()]
+    if len(lines) >= 4:
+        out["repeated_lines"] = 1 - len(set(lines)) / len(lines)
+    return [out[k] for k in quality.LABELLERS]
+
+
+def test_quality_by_brute_force(spark):
+    """Measures, votes, the label model and the scorer against plain loops over every document."""
+    import math
+    from collections import Counter
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    docs += [(1000 + i, docs[3][1]) for i in range(300)] + [(2000, None), (2001, ""), (2002, "### ### 111 222 !!! @@@ ~~~ ~~~")]
+    got = {r["doc_id"]: r for r in quality.classify(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    limits = list(quality.LABELLERS.values())
+    votes = {i: tuple(0 if m is None else 1 if m <= good else 2 if m >= bad else 0 for m, (good, bad) in zip(plain_measures(t or ""), limits)) for i, t in docs}
+    start = {0: (0.3, 0.6, 0.1), 1: (0.3, 0.25, 0.45)}
+    prior, said, counts = 0.1, {(m, c): start[c] for m in range(8) for c in (0, 1)}, Counter(votes.values())
+
+    def posterior(vote):
+        odds = math.log(prior / (1 - prior))
+        for m, v in enumerate(vote):
+            if v:
+                odds += math.log(said[m, 1][v] / sum(said[m, 1][1:])) - math.log(said[m, 0][v] / sum(said[m, 0][1:]))
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(100):
+        bad = {vote: posterior(vote) for vote in counts}
+        new = {}
+        for m in range(8):
+            for c in (0, 1):
+                held = list(start[c])
+                for vote, n in counts.items():
+                    held[vote[m]] += n * (bad[vote] if c else 1 - bad[vote])
+                new[m, c] = tuple(x / sum(held) for x in held)
+        old, prior, said = prior, (sum(n * bad[v] for v, n in counts.items()) + 1) / (sum(counts.values()) + 10), new
+        if abs(prior - old) < 1e-9:
+            break
+    for i, vote in votes.items():
+        assert got[i]["_label"] == pytest.approx(posterior(vote), abs=1e-6)
+    rows, truth = [], []
+    for text in {t for _, t in docs}:
+        words, row = (text or "").split(), defaultdict(float)
+        for shape, n in Counter(quality.bucket_of(f"shape:{quality.shape_of(w)}", 4096) for w in words).items():
+            row[shape] += math.sqrt(n / len(words))
+        for name, m in zip(quality.LABELLERS, plain_measures(text or "")):
+            row[quality.bucket_of(f"{name}:{quality.BUCKETS + 1 if m is None else min(int(m * quality.BUCKETS), quality.BUCKETS)}", 4096)] += 1
+        rows.append(row)
+        truth.append(posterior(votes[next(i for i, t in docs if t == text)]))
+    dense = np.zeros((len(rows), 4097))
+    for r, row in enumerate(rows):
+        dense[r, list(row)] = list(row.values())
+    dense[:, -1] = 1
+    scored = {t: s for t, s in zip({t for _, t in docs}, 1 / (1 + np.exp(-dense @ plain_scorer(dense, np.array(truth)))))}
+    off = [abs(got[i]["_bad"] - scored[t]) for i, t in docs]
+    assert max(off) < 0.02 and all(got[i]["_keep"] == (scored[t] < 0.5) for i, t in docs if abs(scored[t] - 0.5) > 0.02)
+
+
+def plain_scorer(x, y, rounds=300, penalty=1e-4):
+    """Accelerated gradient steps on the dense matrix."""
+    w = ahead = np.zeros(x.shape[1])
+    rate = 4.0 / (x**2).sum(axis=1).max()
+    for i in range(rounds):
+        new = ahead - rate * (x.T @ (1 / (1 + np.exp(-x @ ahead)) - y) / len(y) + penalty * ahead)
+        ahead, w = new + i / (i + 3) * (new - w), new
+    return w
+
+
 def test_measures_read_whole_texts():
     """The words past the last full hundred count, and so do the characters of a word past the 64th."""
     text = " ".join([f"w{i}" for i in range(100)] + ["same"] * 99)

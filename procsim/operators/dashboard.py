@@ -23,20 +23,19 @@ CATEGORY_OF = {
 def rescale_to_100(weights: DataFrame, pin: str | None = None) -> DataFrame:
     """Whole percentages that add up to 100 in each group (O-60).
 
-    ``weights``: group, idx, name, weight, live. Dead names get 0. The pinned name keeps its value, held to 0..100; the other
+    ``weights``: group, idx, name, weight, live. Dead names get 0. The pinned name, if live, keeps its value without its fraction, held to 0..100; the other
     live ones share the rest by weight, evenly if all weigh 0. Remainders go to the largest fractions, ties to the
-    smaller idx.
+    smaller idx. A pinned name that alone is live keeps its value all the same.
     """
     pinned = F.coalesce(F.col("name") == F.lit(pin), F.lit(False)) & F.col("live")
     rows = weights.withColumns({"pinned": pinned, "free": F.col("live") & ~pinned})
     group = Window.partitionBy("group")
-    kept = F.coalesce(F.max(F.when(F.col("pinned"), F.least(F.greatest(F.round("weight"), F.lit(0.0)), F.lit(100.0)))).over(group), F.lit(0.0))
+    whole = F.least(F.greatest(F.when(F.col("weight") < 0, F.ceil("weight")).otherwise(F.floor("weight")).cast("double"), F.lit(0.0)), F.lit(100.0))
     rows = rows.withColumns({
         "others": F.sum(F.when(F.col("free"), 1).otherwise(0)).over(group), "sum": F.sum(F.when(F.col("free"), F.col("weight")).otherwise(0.0)).over(group),
-        "kept": kept,
+        "kept": F.coalesce(F.max(F.when(F.col("pinned"), whole)).over(group), F.lit(0.0)),
     })
-    kept = F.when(F.col("others") == 0, 100.0).otherwise(F.col("kept"))
-    rows = rows.withColumn("kept", F.when(F.max(F.col("pinned")).over(group), kept).otherwise(0.0)).withColumn("rest", 100 - F.col("kept"))
+    rows = rows.withColumn("rest", 100 - F.col("kept"))
     share = F.when(F.col("sum") > 0, F.try_divide(F.col("weight"), F.col("sum"))).otherwise(F.try_divide(F.lit(1.0), F.col("others")))
     rows = rows.withColumn("exact", F.when(F.col("free"), F.col("rest") * share).otherwise(0.0)).withColumn("down", F.floor(F.round("exact", 9)))
     rows = rows.withColumn("missing", F.col("rest") - F.sum("down").over(group))

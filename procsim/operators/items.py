@@ -33,6 +33,11 @@ def node_items(models: Models) -> DataFrame:
     return models.node.select("model_id", F.inline(pairs))
 
 
+def first_of_id(values: DataFrame) -> DataFrame:
+    """``model_id, id, value``: one value for each id of ``model_id, id, value, rank, seq``, that of the first element by rank and place in the document."""
+    return values.groupBy("model_id", "id").agg(F.min_by("value", F.struct("rank", "seq", "value")).alias("value"))
+
+
 def with_values(flows: DataFrame, values: DataFrame) -> DataFrame:
     """Add ``source`` and ``target``: the values of the flow's ends, null where an end is unknown."""
     for end in ("source", "target"):
@@ -41,20 +46,32 @@ def with_values(flows: DataFrame, values: DataFrame) -> DataFrame:
     return flows
 
 
+def rank_of(*kinds: str) -> Column:
+    """The place of a node's kind in the order in which ids are looked up."""
+    rank = F.lit(len(kinds))
+    for i, kind in enumerate(kinds):
+        rank = F.when(F.col("kind") == kind, i).otherwise(rank)
+    return rank
+
+
 def flow_items(models: Models) -> DataFrame:
-    """``source|target`` of top-level flows: names of activities, events and pools, name or else type of gateways, '' for unknown ends."""
+    """``source|target`` of top-level flows: names of activities, events and pools, name or else type of gateways, '' for unknown ends.
+
+    An id that several elements share means the first activity, else event, else pool, else gateway.
+    """
     value = F.when(F.col("kind") == "gateway", name_or_type()).otherwise(blank("name"))
-    values = models.node.select("model_id", "id", value.alias("value"))
-    values = values.unionByName(models.pool.select("model_id", F.col("pool_id").alias("id"), blank("name").alias("value")))
+    values = models.node.select("model_id", "id", value.alias("value"), F.when(F.col("kind") == "gateway", 3).otherwise(rank_of("activity", "event")).alias("rank"), "seq")
+    values = values.unionByName(models.pool.select("model_id", F.col("pool_id").alias("id"), blank("name").alias("value"), F.lit(2).alias("rank"), "seq"))
     flows = models.flow.filter(F.col("flow_kind").isin("sequence", "message"))
     key = F.when(F.col("flow_kind") == "sequence", "seq_flows_str").otherwise("mes_flows_str")
-    return with_values(flows, values).select("model_id", key.alias("key"), F.concat(blank("source"), F.lit("|"), blank("target")).alias("item"))
+    return with_values(flows, first_of_id(values)).select("model_id", key.alias("key"), F.concat(blank("source"), F.lit("|"), blank("target")).alias("item"))
 
 
 def contained_values(models: Models) -> DataFrame:
-    """What an element inside a lane or subprocess counts as: name or else type, of gateways the type."""
+    """What an element inside a lane or subprocess counts as: name or else type, of gateways the type. The first activity, else event, else gateway of an id counts."""
     value = F.when(F.col("kind") == "gateway", blank("type")).otherwise(name_or_type())
-    return models.node.select("model_id", F.col("id").alias("ref_id"), value.alias("value"))
+    values = models.node.select("model_id", "id", value.alias("value"), rank_of("activity", "event", "gateway").alias("rank"), "seq")
+    return first_of_id(values).withColumnRenamed("id", "ref_id")
 
 
 def lane_items(models: Models) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procsim.models import Models
+from procsim.storage import staged
 
 SCOPES = ("activity", "event", "gateway", "pool", "lane")
 
@@ -45,20 +46,34 @@ def atomic_names(models: Models, inside: bool = False) -> DataFrame:
     return out.filter("name <> ''").distinct()
 
 
-def greedy_mapping(candidates: DataFrame, by: list[str]) -> DataFrame:
+def greedy_mapping(candidates: DataFrame, by: list[str], most: int = 4096) -> DataFrame:
     """One-to-one matches of each group: by falling (score, name2, name1), a pair is taken if neither name is yet.
 
-    A group's candidates (those over the threshold) are folded in order inside one expression.
+    Groups of up to ``most`` candidates (those over the threshold) are folded in order inside one expression. Larger ones are matched by rounds of joins: what
+    is the best of both its names is taken, and all else of those names goes, which takes the same pairs, as the order is total.
     """
-    ranked = F.sort_array(F.collect_list(F.struct("score", "name2", "name1")), asc=False)
-    groups = candidates.groupBy(*by).agg(ranked.alias("ranked"))
+    columns = [*by, "score", "name2", "name1"]
+    given = staged(candidates.select(*columns), "names")
+    sizes = given.groupBy(*by).agg(F.count(F.lit(1)).alias("of_group"))
+    small = given.join(sizes.filter(F.col("of_group") <= most), by, "left_semi")
+    groups = small.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("score", "name2", "name1")), asc=False).alias("ranked"))
 
     def step(taken: Column, c: Column) -> Column:
         used = F.exists(taken, lambda t: (t["name1"] == c["name1"]) | (t["name2"] == c["name2"]))
         return F.when(used, taken).otherwise(F.concat(taken, F.array(c)))
 
     none = F.slice("ranked", 1, 0)
-    return groups.select(*by, F.inline(F.aggregate("ranked", none, step))).select(*by, "name2", "name1", "score")
+    out = groups.select(*by, F.inline(F.aggregate("ranked", none, step))).select(*by, "name2", "name1", "score")
+    left = given.join(sizes.filter(F.col("of_group") > most), by, "left_semi")
+    while not left.isEmpty():
+        rank = F.struct("score", "name2", "name1")
+        first, second = (left.groupBy(*by, name).agg(F.max(rank).alias("best")).select(*by, "best") for name in ("name1", "name2"))
+        taken = staged(first.join(second, [*by, "best"]).select(*by, "best.name2", "best.name1", "best.score"), "taken")
+        out = out.unionByName(taken)
+        for name in ("name1", "name2"):
+            left = left.join(taken.select(*by, name), [*by, name], "left_anti")
+        left = staged(left, "names")
+    return out
 
 
 def build_mapping(names1: DataFrame, names2: DataFrame, by: list[str], similarity: Callable[[Column, Column], Column], threshold: float = 0.7) -> DataFrame:

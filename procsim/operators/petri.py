@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from procsim.functions.vocabulary import GENERIC_EVENTS, is_choice, net_role
 from procsim.models import Models
+from procsim.operators.items import rank_of
 from procsim.storage import staged
 
 SEVERE = ("no_source_place", "no_sink_place")
@@ -72,8 +73,9 @@ def flow_graph(models: Models) -> tuple[DataFrame, DataFrame]:
     name = F.coalesce("name", F.lit(""))
     label = F.when(F.col("silent"), "").when(F.trim(name) == "", kind).otherwise(name)
     nodes = models.node.join(gone, ["model_id", "id"], "left_anti").join(silent, ["model_id", "id"], "left")
-    nodes = nodes.select("model_id", "id", net_role(kind).alias("role"), is_choice(kind).alias("choice"), kind.alias("type"), label.alias("label"))
-    nodes = nodes.filter("role <> 'IRRELEVANT'").dropDuplicates(["model_id", "id"])
+    told = F.struct(net_role(kind).alias("role"), is_choice(kind).alias("choice"), kind.alias("type"), label.alias("label"))
+    nodes = nodes.select("model_id", "id", told.alias("told"), F.struct(rank_of("activity", "event", "gateway").alias("rank"), "seq").alias("place")).filter("told.role <> 'IRRELEVANT'")
+    nodes = nodes.groupBy("model_id", "id").agg(F.min_by("told", F.struct("place", "told")).alias("told")).select("model_id", "id", "told.*")
     known = nodes.select("model_id", "id")
     edges = flows.join(known.withColumnRenamed("id", "s"), ["model_id", "s"]).join(known.withColumnRenamed("id", "t"), ["model_id", "t"])
     return nodes, edges.select("model_id", "s", "t")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from procsim.functions.metrics import blend, check_method, pair_weight, set_metric, weighted_mean
 from procsim.operators.items import KEYS, item_counts
+from procsim.operators.matching import shared_counts
 from procsim.storage import staged
 
 # Weights of families in groups, and of categories.
@@ -33,15 +34,12 @@ def fine_scores(items: DataFrame, pairs: DataFrame, method: str = "dice") -> Dat
     """``model_a, model_b, key, n1, n2, shared, score, weight, present``: a row for each pair and family.
 
     Multisets are joined as counts: a common item of a pair counts least(n_a, n_b) times. The counts, far fewer than the items, are
-    written in the shared folder once and read for both sides.
+    written in the shared folder once and read for all uses.
     """
     check_method(method)
     counts = staged(item_counts(items), "items")
     sizes = counts.groupBy("model_id", "key").agg(F.sum("n").alias("n"))
-    of_a = counts.select(F.col("model_id").alias("model_a"), "key", "item", F.col("n").alias("n_a"))
-    of_b = counts.select(F.col("model_id").alias("model_b"), "key", "item", F.col("n").alias("n_b"))
-    common = pairs.join(of_a, "model_a").join(of_b, ["model_b", "key", "item"])
-    common = common.groupBy("model_a", "model_b", "key").agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
+    common = shared_counts(counts, pairs, ["key", "item"], ["key"])
     every = pairs.select("model_a", "model_b", F.explode(F.array(*[F.lit(k) for k in KEYS])).alias("key"))
     every = every.join(sizes.select(F.col("model_id").alias("model_a"), "key", F.col("n").alias("n1")), ["model_a", "key"], "left")
     every = every.join(sizes.select(F.col("model_id").alias("model_b"), "key", F.col("n").alias("n2")), ["model_b", "key"], "left")

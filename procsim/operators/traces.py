@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procsim.functions.metrics import check_method, set_metric
+from procsim.operators.matching import shared_counts
+from procsim.storage import staged
 
 START, END = "<START>", "<END>"
 
@@ -54,17 +56,10 @@ def trace_statistics(traces: DataFrame, models: DataFrame | None = None) -> Data
 
 
 def overlaps(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``model_a, model_b, n1, n2, shared`` of the distinct ``model_id, token`` sets of the pairs.
-
-    Tokens are joined by 96 bits of hashes instead of by their labels, so that the shuffle of the pairs moves little.
-    """
-    once = tokens.select("model_id", "token").distinct()
+    """``model_a, model_b, n1, n2, shared`` of the distinct ``model_id, token`` sets of the pairs; tokens are compared whole."""
+    once = staged(tokens.select("model_id", "token").distinct().withColumn("n", F.lit(1).cast("long")), "tokens")
     sizes = once.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-    keyed = once.withColumn("h1", F.xxhash64("token")).withColumn("h2", F.hash("token")).select("model_id", "h1", "h2")
-    of_a = keyed.select(F.col("model_id").alias("model_a"), "h1", "h2")
-    of_b = keyed.select(F.col("model_id").alias("model_b"), "h1", "h2")
-    shared = pairs.select("model_a", "model_b").join(of_a, "model_a").join(of_b, ["model_b", "h1", "h2"])
-    shared = shared.groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("shared"))
+    shared = shared_counts(once, pairs, ["token"], [])
     out = pairs.join(sizes.select(F.col("model_id").alias("model_a"), F.col("n").alias("n1")), "model_a", "left")
     out = out.join(sizes.select(F.col("model_id").alias("model_b"), F.col("n").alias("n2")), "model_b", "left")
     out = out.join(shared, ["model_a", "model_b"], "left")

@@ -108,7 +108,7 @@ def items_of(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 
 
 def index_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items.index_items(nation_items(spark, sf_dir).filter("key in ('lane_names', 'event_types', 'gateway_names')"))
+    return items.index_items(nation_items(spark, sf_dir))
 
 
 def fine(spark: SparkSession, sf_dir: str, method: str = "dice") -> DataFrame:
@@ -150,7 +150,7 @@ def weights_used(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid(spark: SparkSession, sf_dir: str, weight: float) -> DataFrame:
     """Structural scores of nations with behavioral scores of the users of the same numbers."""
     behavior = traces.ngram_similarity(*user_pairs(spark, sf_dir))
-    return rounded(rollup.hybrid(rolled(spark, sf_dir), behavior, weight).filter("structural is not null"))
+    return rounded(rollup.hybrid(rolled(spark, sf_dir), behavior, weight))
 
 
 def hybrid_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +189,9 @@ def rescale_weights(spark: SparkSession, sf_dir: str, pin: str | None) -> DataFr
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All names in five scopes: those of even labels are the first side, those of the odd label after each the second."""
     names = adapters.labelled_names(spark, sf_dir)
-    one = lambda label: names.filter(F.col("label") == label).select(F.lit("all").alias("scope"), "name")
+    one = lambda odd: names.filter(F.col("label") % 2 == odd).select(F.floor(F.col("label") / 2).cast("string").alias("scope"), "name")
     return one(0), one(1), names.select("name", "vector")
 
 
@@ -243,7 +244,7 @@ def values(spark: SparkSession, rows: list[str | tuple], build: Callable[..., Co
 
 
 def sample_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    return getattr(sample_models(spark), name).filter("model_id in ('claim.bpmn', 'editor.json')").select(*columns)
+    return getattr(sample_models(spark), name).select(*columns)
 
 
 def sample_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def finish(rows: DataFrame, strict: bool = False) -> Loaded:
     node, pool, lane = of("node"), of("pool"), of("lane")
     outgoing = of("outgoing", "model_id string, id string, ref_id string, seq long")
     ranks = node.select("model_id", "id", F.when(F.col("kind") == "activity", 0).when(F.col("kind") == "event", 1).otherwise(2).alias("rank"))
-    ranks = ranks.unionByName(pool.select("model_id", F.col("pool_id").alias("id"), F.lit(3).alias("rank"))).dropDuplicates(["model_id", "id"])
+    ranks = ranks.unionByName(pool.select("model_id", F.col("pool_id").alias("id"), F.lit(3).alias("rank"))).groupBy("model_id", "id").agg(F.min("rank").alias("rank"))
     flow = sourced(of("flow"), outgoing.join(ranks, ["model_id", "id"]))
     members = of("subprocess_member")
     at = placed(flow, members)

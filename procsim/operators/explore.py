@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procsim.models import Models
-from procsim.operators.petri import SEVERE, Nets, compile_nets, findings
+from procsim.operators.petri import SEVERE, Nets, collected, compile_net, detailed, gathered, issues_of
 from procsim.operators.traces import all_traces
 from procsim.storage import staged
 
@@ -113,49 +113,65 @@ def explore(net: Net, depth: int, most_states: int, seconds: float | None = None
     return out
 
 
-def collected(nets: Nets) -> DataFrame:
-    """One row a net. A net fits one task; the corpus need not."""
-    out = nets.model
-    for name, table, columns in (("places", nets.place, ["name"]), ("transitions", nets.transition, ["name", "label"]), ("arcs", nets.arc, ["src", "dst", "weight"]), ("marking", nets.marking, ["which", "place", "tokens"])):
-        out = out.join(table.groupBy("model_id").agg(F.collect_list(F.struct(*columns)).alias(name)), "model_id", "left")
-    return out
+RESULT = "model_id string, kind string, trace array<string>, node string, n long"
 
 
-RESULT = "model_id string, kind string, trace array<string>, node string, n long"
+def result_rows(model: str, net: Net, places: list[str], depth: int, most_states: int, seconds: float | None) -> Iterator[tuple]:
+    found, named = explore(net, depth, most_states, seconds), sorted(places)
+    yield from ((model, "variant", list(t), None, 1) for t in sorted(found.variants))
+    yield from ((model, "partial", list(t), None, 1) for t in sorted(found.partials))
+    yield from ((model, "deadlock", list(t), ",".join(f"{p}:{n}" for p, n in zip(named, m) if n), 1) for m, t in sorted(found.deadlocks.items()))
+    yield from ((model, "loop", None, t, n) for t, n in sorted(found.loops.items()))
+    yield from ((model, kind, None, None, 1) for kind, hit in (("capped", found.capped), ("stopped", found.stopped)) if hit)
 
 
 def explore_nets(nets: Nets, depth: int = 3, most_states: int = 200_000, seconds: float | None = None) -> DataFrame:
-    """``model_id, kind, trace, node, n``, kind being variant, partial, deadlock (node: the marking, trace: an example), loop (node: the transition), capped or stopped (O-48)."""
+    """``model_id, kind, trace, node, n`` (O-48), kind being variant, partial, deadlock (node: the marking, trace: an example), loop (node: the transition), capped
+    or stopped; and model, and issue (node: the node, trace: the issue), for what ``findings`` says."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
-                take = lambda xs, *names: [tuple(x[n] for n in names) for x in xs] if xs is not None else []
-                places = [x for (x,) in take(row.places, "name")]
-                net = Net.of(places, take(row.transitions, "name", "label"), take(row.arcs, "src", "dst", "weight"), take(row.marking, "which", "place", "tokens"))
-                found, named = explore(net, depth, most_states, seconds), sorted(places)
-                rows += [(row.model_id, "variant", list(t), None, 1) for t in sorted(found.variants)]
-                rows += [(row.model_id, "partial", list(t), None, 1) for t in sorted(found.partials)]
-                rows += [(row.model_id, "deadlock", list(t), ",".join(f"{p}:{n}" for p, n in zip(named, m) if n), 1) for m, t in sorted(found.deadlocks.items())]
-                rows += [(row.model_id, "loop", None, t, n) for t, n in sorted(found.loops.items())]
-                rows += [(row.model_id, kind, None, None, 1) for kind, hit in (("capped", found.capped), ("stopped", found.stopped)) if hit]
+                take = lambda xs, *names: [tuple(x[n] for n in names) for x in xs]
+                places, arcs = [x["name"] for x in row.places], take(row.arcs, "src", "dst", "weight")
+                transitions = take(row.transitions, "name", "label")
+                rows += net_rows(row.model_id, places, transitions, arcs, take(row.marking, "which", "place", "tokens"), depth, most_states, seconds)
             yield pd.DataFrame(rows, columns=["model_id", "kind", "trace", "node", "n"])
 
     return collected(nets).mapInPandas(run, RESULT)
 
 
-def diagnose(nets: Nets, explored: DataFrame, issues: DataFrame) -> DataFrame:
-    """Counts, status and summary of each net (O-50, O-51)."""
+def net_rows(model: str, places: list[str], transitions: list[tuple], arcs: list[tuple], marking: list[tuple], depth: int, most_states: int, seconds: float | None) -> Iterator[tuple]:
+    yield model, "model", None, None, 1
+    yield from ((model, "issue", [issue], node, 1) for issue, node in issues_of(set(places), {t for t, _ in transitions}, [a[:2] for a in arcs]))
+    yield from result_rows(model, Net.of(places, transitions, arcs, marking), places, depth, most_states, seconds)
+
+
+def explore_models(models: Models, depth: int, most_states: int, seconds: float | None, ids: DataFrame | None = None, event_labels: bool = True) -> DataFrame:
+    """Compile, check and explore each model where its rows have come together: the rows of ``explore_nets`` in one pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for model, *given in batch[["model_id", "nodes", "flows", "members"]].itertuples(index=False):
+                net = compile_net(*given, event_labels)
+                arcs = [(a, b, 1) for a, b, _ in net.arcs]
+                rows += net_rows(model, sorted(net.places), list(net.transitions.items()), arcs, [(w, p, 1) for w, p in net.marked.items()], depth, most_states, seconds)
+            yield pd.DataFrame(rows, columns=["model_id", "kind", "trace", "node", "n"])
+
+    return gathered(models, ids).mapInPandas(run, RESULT)
+
+
+def diagnose(explored: DataFrame) -> DataFrame:
+    """Counts, status and summary of each net (O-50, O-51): all in one grouping of what exploration gave."""
     count = lambda kind, value=F.lit(1): F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).cast("long")
-    sums = explored.groupBy("model_id").agg(
+    severe = (F.col("kind") == "issue") & F.get("trace", F.lit(0)).isin(*SEVERE)
+    own = explored.groupBy("model_id").agg(
         count("variant").alias("variants"), count("partial").alias("partials"), count("deadlock").alias("deadlocks"),
         count("loop", F.col("n")).alias("loop_hits"), (count("capped") > 0).alias("capped"), (count("stopped") > 0).alias("stopped"),
+        F.count(F.when(severe, 1)).alias("severe"),
     )
-    severe = issues.filter(F.col("issue").isin(*SEVERE)).groupBy("model_id").agg(F.count(F.lit(1)).alias("severe"))
-    zero, no = F.lit(0).cast("long"), F.lit(False)
-    own = nets.model.join(sums, "model_id", "left").join(severe, "model_id", "left")
-    own = own.select("model_id", *[F.coalesce(c, zero).alias(c) for c in ("variants", "partials", "deadlocks", "loop_hits", "severe")], *[F.coalesce(c, no).alias(c) for c in ("capped", "stopped")])
     bad = (F.col("deadlocks") > 0) | (F.col("loop_hits") > 0) | (F.col("severe") > 0)
     status = (
         F.when((F.col("severe") > 0) & (F.col("variants") == 0), "structurally_broken")
@@ -203,16 +219,25 @@ class Traces:
         return len(bad)
 
 
-def traces_of_nets(nets: Nets, depth: int = 3, most_states: int = 200_000, seconds: float | None = None) -> Traces:
-    explored, issues = staged(explore_nets(nets, depth, most_states, seconds), "explored"), staged(findings(nets), "findings")
+def traces_of(explored: DataFrame) -> Traces:
+    explored = staged(explored, "explored")
     of = lambda kind: explored.filter(F.col("kind") == kind)
     return Traces(
-        of("variant").select("model_id", "trace"), of("partial").select("model_id", "trace"), diagnose(nets, explored, issues),
+        of("variant").select("model_id", "trace"), of("partial").select("model_id", "trace"), diagnose(explored),
         of("deadlock").select("model_id", F.col("node").alias("tokens"), F.col("trace").alias("example")),
-        of("loop").select("model_id", F.col("node").alias("transition"), F.col("n").alias("hits")), issues,
+        of("loop").select("model_id", F.col("node").alias("transition"), F.col("n").alias("hits")),
+        detailed(of("issue").select("model_id", F.get("trace", F.lit(0)).alias("issue"), F.col("node").alias("node_id"))),
     )
 
 
+def traces_of_nets(nets: Nets, depth: int = 3, most_states: int = 200_000, seconds: float | None = None) -> Traces:
+    return traces_of(explore_nets(nets, depth, most_states, seconds))
+
+
+#: The variants of nets as an event log go by this name too (O-48b).
+to_variant_event_log = traces_of_nets
+
+
 def extract_traces(models: Models, max_loop_depth: int = 2, most_states: int = 200_000, seconds: float | None = None, ids: DataFrame | None = None) -> Traces:
-    """Compile, check and explore all models (O-49). Each model is explored once, however many pairs it is in; write the result before use in many queries."""
-    return traces_of_nets(compile_nets(models, ids=ids), max_loop_depth, most_states, seconds)
+    """Compile, check and explore all models (O-49), each once, however many pairs it is in; the result is written in the shared folder."""
+    return traces_of(explore_models(models, max_loop_depth, most_states, seconds, ids))

@@ -1,11 +1,13 @@
-"""Models to Petri nets by joins over the whole corpus (O-46, O-47)."""
+"""Models to Petri nets, one model at a time in one pass over the corpus (O-46, O-47)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procsim.functions.vocabulary import GENERIC_EVENTS, is_choice, net_role
@@ -27,235 +29,276 @@ class Nets:
     marking: DataFrame
 
 
-def inlined(models: Models) -> DataFrame:
-    """``model_id, sub, entry, exit``: subprocesses whose body has just one entry and one exit.
+def gathered(models: Models, ids: DataFrame | None = None) -> DataFrame:
+    """One row a model: ``model_id, nodes, flows, members``. A model's rules look at nothing but the model, so that one shuffle brings together all they need.
 
-    Entries are members on an inner flow that no inner flow reaches, start events if there are any, else any; exits likewise.
-    """
-    inner = models.flow.filter("flow_kind = 'subprocess'").select("model_id", F.col("owner").alias("sub"), "source_ref", "target_ref")
-    out_of = inner.filter("source_ref <> ''").select("model_id", "sub", F.col("source_ref").alias("ref"), F.lit(1).alias("out"), F.lit(0).alias("into"))
-    into = inner.filter("target_ref <> ''").select("model_id", "sub", F.col("target_ref").alias("ref"), F.lit(0).alias("out"), F.lit(1).alias("into"))
-    used = out_of.unionByName(into).groupBy("model_id", "sub", "ref").agg(F.max("out").alias("out"), F.max("into").alias("into"))
-    members = models.subprocess_member.select("model_id", F.col("subprocess_id").alias("sub"), F.col("ref_id").alias("ref")).distinct()
-    events = models.node.filter("kind = 'event'").select("model_id", F.col("id").alias("ref"), F.lower("type").alias("type"))
-    ends = members.join(used, ["model_id", "sub", "ref"]).join(events, ["model_id", "ref"], "left")
-    picked = {
-        "entry": (F.col("into") == 0, F.col("type").startswith("start")),
-        "exit": (F.col("out") == 0, F.col("type").startswith("end")),
-    }
-    sums = []
-    for name, (any_, typed) in picked.items():
-        typed = any_ & F.coalesce(typed, F.lit(False))
-        for kind, c in (("typed", typed), ("any", any_)):
-            sums += [F.count(F.when(c, 1)).alias(f"{name}_{kind}_n"), F.min(F.when(c, F.col("ref"))).alias(f"{name}_{kind}")]
-    found = ends.groupBy("model_id", "sub").agg(*sums)
-    for name in picked:
-        typed = F.col(f"{name}_typed_n") > 0
-        found = found.withColumn(name, F.when(F.when(typed, F.col(f"{name}_typed_n")).otherwise(F.col(f"{name}_any_n")) == 1, F.when(typed, F.col(f"{name}_typed")).otherwise(F.col(f"{name}_any"))))
-    return found.filter("entry is not null and exit is not null").select("model_id", "sub", "entry", "exit")
-
-
-def flow_graph(models: Models) -> tuple[DataFrame, DataFrame]:
-    """Elements (``model_id, id, role, choice, label``) and distinct edges (``model_id, s, t``) between them.
-
-    Flows of all kinds count. Flows at an inlined subprocess are led to its entry or from its exit (one step), whose labels are blanked;
-    the subprocess itself goes unless a flow still ends there.
+    ``ids`` adds models that have no rows in any table.
     """
-    into = staged(inlined(models), "net")
-    flows = models.flow.select("model_id", F.col("source_ref").alias("s"), F.col("target_ref").alias("t"))
-    flows = flows.join(into.select("model_id", F.col("sub").alias("s"), "exit"), ["model_id", "s"], "left").withColumn("s", F.coalesce("exit", "s")).drop("exit")
-    flows = flows.join(into.select("model_id", F.col("sub").alias("t"), "entry"), ["model_id", "t"], "left").withColumn("t", F.coalesce("entry", "t")).drop("entry")
-    flows = staged(flows.select("model_id", "s", "t").distinct(), "net")
-    touched = flows.select("model_id", F.explode(F.array("s", "t")).alias("id")).distinct()
-    gone = into.select("model_id", F.col("sub").alias("id")).join(touched, ["model_id", "id"], "left_anti")
-    silent = into.select("model_id", F.explode(F.array("entry", "exit")).alias("id")).distinct().withColumn("silent", F.lit(True))
     kind = F.coalesce("type", F.initcap("kind"))
-    name = F.coalesce("name", F.lit(""))
-    label = F.when(F.col("silent"), "").when(F.trim(name) == "", kind).otherwise(name)
-    nodes = models.node.join(gone, ["model_id", "id"], "left_anti").join(silent, ["model_id", "id"], "left")
-    told = F.struct(net_role(kind).alias("role"), is_choice(kind).alias("choice"), kind.alias("type"), label.alias("label"))
-    nodes = nodes.select("model_id", "id", told.alias("told"), F.struct(rank_of("activity", "event", "gateway").alias("rank"), "seq").alias("place")).filter("told.role <> 'IRRELEVANT'")
-    nodes = nodes.groupBy("model_id", "id").agg(F.min_by("told", F.struct("place", "told")).alias("told")).select("model_id", "id", "told.*")
-    known = nodes.select("model_id", "id")
-    edges = flows.join(known.withColumnRenamed("id", "s"), ["model_id", "s"]).join(known.withColumnRenamed("id", "t"), ["model_id", "t"])
-    return nodes, edges.select("model_id", "s", "t")
+    node = F.struct(
+        rank_of("activity", "event", "gateway").alias("rank"), "seq", "id", "kind", kind.alias("type"), F.coalesce("name", F.lit("")).alias("name"),
+        net_role(kind).alias("role"), is_choice(kind).alias("choice"),
+    )
+    flow = F.struct("flow_kind", "owner", F.col("source_ref").alias("s"), F.col("target_ref").alias("t"))
+    member = F.struct(F.col("subprocess_id").alias("sub"), F.col("ref_id").alias("ref"))
+    empty = {name: F.lit(None).cast(table.select(c.alias("x")).schema["x"].dataType) for name, table, c in (("node", models.node, node), ("flow", models.flow, flow), ("member", models.subprocess_member, member))}
+    part = lambda table, **given: table.select("model_id", *[given.get(k, empty[k]).alias(k) for k in empty])
+    rows = part(models.node, node=node).unionByName(part(models.flow, flow=flow)).unionByName(part(models.subprocess_member, member=member)).unionByName(part(models.pool))
+    rows = rows if ids is None else rows.unionByName(part(ids))
+    return rows.groupBy("model_id").agg(*[F.collect_list(k).alias(f"{k}s") for k in empty])
+
+
+@dataclass
+class Draft:
+    """A net while it is built: names of places, labels of transitions (None: silent), arcs as (source, target, whether from a place), marked places."""
 
+    places: set[str] = field(default_factory=set)
+    transitions: dict[str, str | None] = field(default_factory=dict)
+    arcs: set[tuple[str, str, bool]] = field(default_factory=set)
+    marked: dict[str, str] = field(default_factory=dict)
 
-def arc(src: Column, dst: Column, from_place: bool) -> Column:
-    return F.struct(src.alias("src"), dst.alias("dst"), F.lit(from_place).alias("from_place"))
+    def add(self, *steps: tuple[str, str, bool]) -> None:
+        self.arcs.update(steps)
 
 
-def rule_arcs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Arcs of each edge by the roles of its ends: ``model_id, src, dst, from_place``.
+def inlined(nodes, flows, members) -> dict[str, tuple[str, str]]:
+    """Subprocesses whose body has just one entry and one exit, with these.
+
+    Entries are members on an inner flow that no inner flow reaches, start events if there are any, else any; exits likewise.
+    """
+    leaving, reached, kinds = defaultdict(set), defaultdict(set), {}
+    for f in flows:
+        if f["flow_kind"] == "subprocess":
+            leaving[f["owner"]] |= {f["s"]} - {None, ""}
+            reached[f["owner"]] |= {f["t"]} - {None, ""}
+    for n in nodes:
+        if n["kind"] == "event":
+            kinds.setdefault(n["id"], n["type"].lower())
+    inside = defaultdict(set)
+    for m in members:
+        inside[m["sub"]].add(m["ref"])
+    found = {}
+    for sub, refs in inside.items():
+        used, ends = refs & (leaving[sub] | reached[sub]), []
+        for others, mark in ((reached[sub], "start"), (leaving[sub], "end")):
+            loose = used - others
+            typed = {x for x in loose if kinds.get(x, "").startswith(mark)}
+            ends.append(typed or loose)
+        if len(ends[0]) == len(ends[1]) == 1:
+            found[sub] = (*ends[0], *ends[1])
+    return found
+
+
+def flow_graph(nodes, flows, members) -> tuple[dict[str, dict], set[tuple[str, str]]]:
+    """Elements by id (``role``, ``choice``, ``type``, ``label``) and edges between them.
+
+    Flows of all kinds count. Flows at an inlined subprocess are led to its entry or from its exit (one step), whose labels are blanked;
+    the subprocess itself goes unless a flow still ends there. Of an id's elements the first activity, else event, else gateway counts.
+    """
+    into = inlined(nodes, flows, members)
+    edges = {(into[s][1] if s in into else s, into[t][0] if t in into else t) for s, t in ((f["s"], f["t"]) for f in flows)}
+    touched = {x for e in edges for x in e}
+    silent = {x for ends in into.values() for x in ends}
+    known: dict[str, dict] = {}
+    for n in nodes:
+        gone = n["id"] in into and n["id"] not in touched
+        if not gone and n["role"] != "IRRELEVANT" and n["id"] not in known:
+            label = "" if n["id"] in silent else n["name"] if n["name"].strip(" ") else n["type"]
+            known[n["id"]] = {"role": n["role"], "choice": n["choice"], "type": n["type"], "label": label}
+    return known, {(s, t) for s, t in edges if s in known and t in known}
+
+
+def connect(net: Draft, known: dict[str, dict], edges: set[tuple[str, str]]) -> None:
+    """Arcs of each edge by the roles of its ends.
 
     Between an edge's ends stand, as the roles ask, a place of its own (p), a silent transition (t), a second place (q), or a choice
     gateway's one place for all its outgoing (gout) or incoming (gin) edges.
     """
-    ends = {}
-    for end in "st":
-        ends[end] = nodes.select("model_id", F.col("id").alias(end), F.col("role").alias(f"role_{end}"), F.col("choice").alias(f"choice_{end}"))
-    typed = edges.join(ends["s"], ["model_id", "s"]).join(ends["t"], ["model_id", "t"])
-    s, t, rs, rt = F.col("s"), F.col("t"), F.col("role_s"), F.col("role_t")
-    between = lambda mark: F.concat(F.lit(mark), s, F.lit("->"), t)
-    p, q, silent = between("p:"), between("q:"), between("t:")
-    gin, gout = F.concat(F.lit("gin:"), t), F.concat(F.lit("gout:"), s)
-    out = F.when(F.col("choice_s"), gout).otherwise(p)
-    into = F.when(F.col("choice_t"), gin).otherwise(q)
-    to_gate = F.when(F.col("choice_t"), gin).otherwise(p)
-    arcs = (
-        F.when((rs == "EVENT") & (rt == "EVENT"), F.array(arc(s, silent, True), arc(silent, t, False)))
-        .when(rs == "EVENT", F.array(arc(s, t, True)))
-        .when((rs == "TASK") & (rt == "EVENT"), F.array(arc(s, t, False)))
-        .when((rs == "TASK") & (rt == "GATEWAY"), F.array(arc(s, to_gate, False), arc(to_gate, t, True)))
-        .when(rs == "TASK", F.array(arc(s, p, False), arc(p, t, True)))
-        .when(rt == "EVENT", F.array(arc(s, out, False), arc(out, silent, True), arc(silent, t, False)))
-        .when(rt == "TASK", F.array(arc(s, out, False), arc(out, t, True)))
-        .otherwise(F.array(arc(s, out, False), arc(out, silent, True), arc(silent, into, False), arc(into, t, True)))
-    )
-    return typed.select("model_id", F.inline(arcs)).distinct()
-
-
-def task_label() -> Column:
+    for s, t in edges:
+        one, two = known[s], known[t]
+        p, q, silent = f"p:{s}->{t}", f"q:{s}->{t}", f"t:{s}->{t}"
+        out, enter = f"gout:{s}" if one["choice"] else p, f"gin:{t}" if two["choice"] else None
+        match one["role"], two["role"]:
+            case "EVENT", "EVENT":
+                net.add((s, silent, True), (silent, t, False))
+            case "EVENT", _:
+                net.add((s, t, True))
+            case "TASK", "EVENT":
+                net.add((s, t, False))
+            case "TASK", "GATEWAY":
+                net.add((s, enter or p, False), (enter or p, t, True))
+            case "TASK", _:
+                net.add((s, p, False), (p, t, True))
+            case _, "EVENT":
+                net.add((s, out, False), (out, silent, True), (silent, t, False))
+            case _, "TASK":
+                net.add((s, out, False), (out, t, True))
+            case _:
+                net.add((s, out, False), (out, silent, True), (silent, enter or q, False), (enter or q, t, True))
+
+
+def task_label(key: str, label: str, kind: str) -> str:
     """A task's label, or else its id; ``CollapsedSubprocess (x)`` counts as x."""
-    label, kind = F.col("label"), F.col("type")
-    rest = F.trim(F.substring(label, F.length(kind) + 1, F.length(label)))
-    inner = F.trim(F.substring(rest, F.lit(2), F.length(rest) - 2))
-    wrapped = kind.startswith("CollapsedSubprocess") & label.startswith(kind) & rest.startswith("(") & rest.endswith(")")
-    text = F.when(wrapped, inner).otherwise(label)
-    return F.when(text == "", F.col("id")).otherwise(text)
+    rest = label[len(kind) :].strip(" ")
+    if kind.startswith("CollapsedSubprocess") and label.startswith(kind) and rest.startswith("(") and rest.endswith(")"):
+        label = rest[1:-1].strip(" ")
+    return label or key
 
 
-def split_joins(arcs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def split_joins(net: Draft, known: dict[str, dict], edges: set[tuple[str, str]]) -> None:
     """Tasks that several elements lead to take a token from any of their places, not one from each."""
-    led = edges.filter("s <> t").groupBy("model_id", F.col("t").alias("dst")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    tasks = nodes.filter("role = 'TASK'").select("model_id", F.col("id").alias("dst")).join(led.select("model_id", "dst"), ["model_id", "dst"])
-    wide = arcs.join(tasks, ["model_id", "dst"], "left_semi").groupBy("model_id", "dst").agg(F.count(F.lit(1)).alias("inputs")).filter("inputs > 1")
-    marked = arcs.join(wide, ["model_id", "dst"], "left")
-    src, dst = F.col("src"), F.col("dst")
-    way, shared = F.concat(F.lit("j:"), src, F.lit("->"), dst), F.concat(F.lit("pj:"), dst)
-    new = F.when(F.col("inputs").isNull(), F.array(arc_as_is())).otherwise(F.array(arc(src, way, True), arc(way, shared, False), arc(shared, dst, True)))
-    return marked.select("model_id", F.inline(new)).distinct()
-
-
-def arc_as_is() -> Column:
-    return F.struct("src", "dst", "from_place")
-
-
-def visible_events(arcs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Event places with a telling label become place, labelled transition, place; the new arcs and ``model_id, id, label`` of the events."""
-    telling = (F.trim("label") != "") & ~F.lower("label").isin(*GENERIC_EVENTS)
-    shown = nodes.filter("role = 'EVENT'").filter(telling).select("model_id", "id", "label")
-    keys = shown.select("model_id", "id", F.lit(True).alias("hit"))
-    arcs = arcs.join(keys.select("model_id", F.col("id").alias("src"), F.col("hit").alias("out")), ["model_id", "src"], "left")
-    arcs = arcs.join(keys.select("model_id", F.col("id").alias("dst"), F.col("hit").alias("into")), ["model_id", "dst"], "left")
-    src = F.when(F.col("out"), F.concat(F.lit("pout:"), "src")).otherwise(F.col("src"))
-    dst = F.when(F.col("into"), F.concat(F.lit("pin:"), "dst")).otherwise(F.col("dst"))
-    arcs = arcs.select("model_id", src.alias("src"), dst.alias("dst"), "from_place")
-    own = F.array(
-        arc(F.concat(F.lit("pin:"), F.col("id")), F.concat(F.lit("e:"), F.col("id")), True),
-        arc(F.concat(F.lit("e:"), F.col("id")), F.concat(F.lit("pout:"), F.col("id")), False),
-    )
-    return arcs.unionByName(shown.select("model_id", F.inline(own))), shown
-
-
-def close_ends(model: DataFrame, place: DataFrame, transition: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    led = defaultdict(set)
+    for s, t in edges:
+        if s != t:
+            led[t].add(s)
+    inputs = defaultdict(list)
+    for a in net.arcs:
+        if len(led[a[1]]) > 1 and known.get(a[1], {}).get("role") == "TASK":
+            inputs[a[1]].append(a)
+    for task, own in inputs.items():
+        if len(own) > 1:
+            net.arcs.difference_update(own)
+            for src, _, _ in own:
+                way = f"j:{src}->{task}"
+                net.add((src, way, True), (way, f"pj:{task}", False), (f"pj:{task}", task, True))
+
+
+def show_events(net: Draft, shown: set[str]) -> None:
+    """Event places with a telling label become place, labelled transition, place."""
+    net.arcs = {(f"pout:{a}" if a in shown else a, f"pin:{b}" if b in shown else b, k) for a, b, k in net.arcs}
+    for x in shown:
+        net.add((f"pin:{x}", f"e:{x}", True), (f"e:{x}", f"pout:{x}", False))
+
+
+def close_ends(net: Draft) -> None:
     """One start and one end place: where there are none or several, new ones lead to the sources or from the sinks (one of several starts, not all)."""
-    marks, new_arcs = [], []
-    for which, away, toward, name in (("initial", "dst", "src", "_start"), ("final", "src", "dst", "_end")):
-        ends = place.join(arcs.select("model_id", F.col(away).alias("name")).distinct(), ["model_id", "name"], "left_anti")
-        loose = transition.select("model_id", "name").join(arcs.select("model_id", F.col(away).alias("name")).distinct(), ["model_id", "name"], "left_anti")
-        counts = model.join(ends.groupBy("model_id").agg(F.count(F.lit(1)).alias("ends"), F.min("name").alias("only")), "model_id", "left")
-        counts = counts.join(loose.groupBy("model_id").agg(F.count(F.lit(1)).alias("loose")), "model_id", "left")
-        counts = counts.join(place.groupBy("model_id").agg(F.count(F.lit(1)).alias("places")), "model_id", "left")
-        counts = counts.join(transition.groupBy("model_id").agg(F.min("name").alias("some")), "model_id", "left")
-        zero = lambda c: F.coalesce(c, F.lit(0))
-        counts = counts.filter((zero("places") > 0) | F.col("some").isNotNull())
-        marked = F.when(zero("ends") == 1, F.col("only")).otherwise(F.lit(name))
-        marks.append(counts.select("model_id", F.lit(which).alias("which"), marked.alias("place"), F.lit(1).alias("tokens")))
-        outer, from_place = F.lit(name), which == "initial"
-        pick = lambda a, b, first: arc(a, b, first) if from_place else arc(b, a, not first)
-        way = F.concat(F.lit(f"{name}:"), "name")
-        several = ends.join(counts.filter("ends > 1").select("model_id"), "model_id")
-        new_arcs.append(several.select("model_id", F.inline(F.array(pick(outer, way, True), pick(way, F.col("name"), False)))))
-        none = counts.filter("ends is null")
-        new_arcs.append(loose.join(none.select("model_id"), "model_id").select("model_id", F.inline(F.array(pick(outer, F.col("name"), True)))))
-        new_arcs.append(none.filter("loose is null and some is not null").select("model_id", F.inline(F.array(pick(outer, F.col("some"), True)))))
-    for more in new_arcs:
-        arcs = arcs.unionByName(more)
-    return arcs, marks[0].unionByName(marks[1])
+    if not net.places and not net.transitions:
+        return
+    new = []
+    for which, outer, near in (("initial", "_start", 1), ("final", "_end", 0)):
+        held = {a[near] for a in net.arcs}
+        ends, loose = sorted(net.places - held), sorted(set(net.transitions) - held)
+        step = lambda a, b, place: (a, b, place) if near else (b, a, not place)
+        net.marked[which] = ends[0] if len(ends) == 1 else outer
+        if len(ends) > 1:
+            for x in ends:
+                new += [step(outer, f"{outer}:{x}", True), step(f"{outer}:{x}", x, False)]
+        elif not ends:
+            new += [step(outer, x, True) for x in loose or sorted(net.transitions)[:1]]
+    net.add(*new)
+
+
+def compile_net(nodes, flows, members, event_labels: bool) -> Draft:
+    nodes = sorted(nodes, key=lambda n: (n["rank"], n["seq"] is not None, n["seq"] or 0, n["name"], n["type"]))
+    known, edges = flow_graph(nodes, flows, members)
+    net = Draft()
+    connect(net, known, edges)
+    split_joins(net, known, edges)
+    events = {x for x, e in known.items() if e["role"] == "EVENT"}
+    net.transitions = {x: task_label(x, e["label"], e["type"]) if e["role"] == "TASK" else None for x, e in known.items() if x not in events}
+    if event_labels:
+        shown = {x for x in events if known[x]["label"].strip(" ") and known[x]["label"].lower() not in GENERIC_EVENTS}
+        show_events(net, shown)
+        events -= shown
+        net.transitions |= {f"e:{x}": known[x]["label"] for x in shown}
+    net.places = events
+    take_ends(net)
+    close_ends(net)
+    net.places |= set(net.marked.values())
+    take_ends(net)
+    return net
+
+
+def take_ends(net: Draft) -> None:
+    """Ends of arcs that are neither yet become places and silent transitions."""
+    for src, dst, from_place in net.arcs:
+        net.places.add(src if from_place else dst)
+        net.transitions.setdefault(dst if from_place else src, None)
+
+
+ROWS = "model_id string, part string, a string, b string, n long"
+
+
+def rows_of(net: Draft) -> Iterator[tuple[str, str | None, str | None, int]]:
+    yield "model", None, None, 0
+    yield from (("place", x, None, 0) for x in sorted(net.places))
+    yield from (("transition", x, label, 0) for x, label in sorted(net.transitions.items()))
+    yield from (("arc", a, b, 1) for a, b, _ in sorted(net.arcs))
+    yield from (("marking", which, x, 1) for which, x in net.marked.items())
+
+
+def tables_of(rows: DataFrame) -> Nets:
+    """The tables of nets in the rows that ``rows_of`` gives."""
+    of = lambda part, *columns: rows.filter(F.col("part") == part).select("model_id", *columns)
+    return Nets(
+        of("model"), of("place", F.col("a").alias("name")), of("transition", F.col("a").alias("name"), F.col("b").alias("label")),
+        of("arc", F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").cast("int").alias("weight")),
+        of("marking", F.col("a").alias("which"), F.col("b").alias("place"), F.col("n").cast("int").alias("tokens")),
+    )
 
 
 def compile_nets(models: Models, event_labels: bool = True, ids: DataFrame | None = None) -> Nets:
-    """Petri nets of all models (O-47h). Each step's tables are written in the shared folder, as the next ones read them several times. ``ids`` adds models that have no rows in any table."""
-    nodes, edges = (staged(x, "net") for x in flow_graph(models))
-    arcs = staged(split_joins(staged(rule_arcs(nodes, edges), "net"), edges, nodes), "net")
-    events = nodes.filter("role = 'EVENT'").select("model_id", F.col("id").alias("name"))
-    label = F.when(F.col("role") == "TASK", task_label())
-    named = nodes.filter("role <> 'EVENT'").select("model_id", F.col("id").alias("name"), label.alias("label"))
-    if event_labels:
-        arcs, shown = visible_events(arcs, nodes)
-        events = events.join(shown.select("model_id", F.col("id").alias("name")), ["model_id", "name"], "left_anti")
-        named = named.unionByName(shown.select("model_id", F.concat(F.lit("e:"), "id").alias("name"), "label"))
-    model = models.node.select("model_id").union(models.flow.select("model_id")).union(models.pool.select("model_id"))
-    model = (model if ids is None else model.union(ids.select("model_id"))).distinct()
-    ends = lambda place: arcs.select("model_id", F.when(F.col("from_place") == place, F.col("src")).otherwise(F.col("dst")).alias("name"))
-    place = events.unionByName(ends(True)).distinct()
-    transition = ends(False).distinct().join(named.select("model_id", "name"), ["model_id", "name"], "left_anti").withColumn("label", F.lit(None).cast("string"))
-    transition = named.unionByName(transition)
-    model, place, transition, arcs = (staged(x, "net") for x in (model, place, transition, arcs))
-    arcs, marking = (staged(x, "net") for x in close_ends(model, place, transition, arcs))
-    place = place.unionByName(marking.select("model_id", F.col("place").alias("name"))).distinct()
-    late = arcs.select("model_id", F.when(F.col("from_place"), F.col("dst")).otherwise(F.col("src")).alias("name")).distinct()
-    late = late.join(transition.select("model_id", "name"), ["model_id", "name"], "left_anti").withColumn("label", F.lit(None).cast("string"))
-    return Nets(model, place, transition.unionByName(late), arcs.select("model_id", "src", "dst", F.lit(1).alias("weight")), marking)
+    """Petri nets of all models (O-47h), written once in the shared folder. ``ids`` adds models that have no rows in any table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(model, *r) for model, *given in batch[["model_id", "nodes", "flows", "members"]].itertuples(index=False) for r in rows_of(compile_net(*given, event_labels))]
+            yield pd.DataFrame(out, columns=["model_id", "part", "a", "b", "n"])
+
+    return tables_of(staged(gathered(models, ids).mapInPandas(run, ROWS), "nets"))
+
+
+def issues_of(places: set[str], transitions: set[str], arcs: list[tuple[str, str]]) -> Iterator[tuple[str, str | None]]:
+    """What keeps a net from being a workflow net, as (issue, node)."""
+    into, out = defaultdict(list), defaultdict(list)
+    for a, b in arcs:
+        out[a].append(b)
+        into[b].append(a)
+    for side, issue in ((into, "source"), (out, "sink")):
+        ends = [x for x in sorted(places) if x not in side]
+        if not ends:
+            yield f"no_{issue}_place", None
+        elif len(ends) > 1:
+            yield from ((f"multiple_{issue}_places", x) for x in ends)
+    every = sorted(places | transitions)
+    yield from (("isolated_node", x) for x in every if x not in into and x not in out)
+    yield from (("dead_transition_no_preset", x) for x in sorted(transitions) if x not in into)
+    yield from (("dead_transition_no_postset", x) for x in sorted(transitions) if x in into and x not in out)
+    for issue, ends, steps in (("unreachable_from_source", into, out), ("cannot_reach_sink", out, into)):
+        stack = [x for x in places if x not in ends]
+        seen = set(stack)
+        while stack:
+            for x in steps.get(stack.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    stack.append(x)
+        if seen:
+            yield from ((issue, x) for x in every if x not in seen)
+
+
+def collected(nets: Nets) -> DataFrame:
+    """One row a net. A net fits one task; the corpus need not."""
+    parts = {"places": (nets.place, ["name"]), "transitions": (nets.transition, ["name", "label"]), "arcs": (nets.arc, ["src", "dst", "weight"]), "marking": (nets.marking, ["which", "place", "tokens"])}
+    empty = {k: F.lit(None).cast(table.select(F.struct(*c).alias("x")).schema["x"].dataType) for k, (table, c) in parts.items()}
+    rows = nets.model.select("model_id", *[e.alias(k) for k, e in empty.items()])
+    for part, (table, columns) in parts.items():
+        rows = rows.unionByName(table.select("model_id", *[(F.struct(*columns) if k == part else e).alias(k) for k, e in empty.items()]))
+    return rows.groupBy("model_id").agg(*[F.collect_list(k).alias(k) for k in parts])
+
+
+def detailed(issues: DataFrame) -> DataFrame:
+    return issues.select("model_id", "issue", "node_id", F.concat_ws(": ", F.regexp_replace("issue", "_", " "), "node_id").alias("detail"))
 
 
 def findings(nets: Nets) -> DataFrame:
-    """``model_id, issue, node_id, detail``: what keeps a net from being a workflow net (O-47i). Degrees are joins; reachability walks each net in one task."""
-    nodes = nets.place.select("model_id", "name", F.lit("place").alias("kind")).unionByName(nets.transition.select("model_id", "name", F.lit("transition").alias("kind")))
-    into = nets.arc.groupBy("model_id", F.col("dst").alias("name")).agg(F.count(F.lit(1)).alias("into"))
-    out = nets.arc.groupBy("model_id", F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("out"))
-    nodes = nodes.join(into, ["model_id", "name"], "left").join(out, ["model_id", "name"], "left")
-    found = []
-    for side, issue in (("into", "source"), ("out", "sink")):
-        ends = nodes.filter(f"kind = 'place' and {side} is null").select("model_id", "name")
-        counts = ends.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-        none = nets.model.join(counts, "model_id", "left_anti")
-        found.append(none.select("model_id", F.lit(f"no_{issue}_place").alias("issue"), F.lit(None).cast("string").alias("node_id")))
-        several = ends.join(counts.filter("n > 1"), "model_id")
-        found.append(several.select("model_id", F.lit(f"multiple_{issue}_places").alias("issue"), F.col("name").alias("node_id")))
-    transitions = nodes.filter("kind = 'transition'")
-    for rows, issue in (
-        (nodes.filter("into is null and out is null"), "isolated_node"),
-        (transitions.filter("into is null"), "dead_transition_no_preset"),
-        (transitions.filter("into is not null and out is null"), "dead_transition_no_postset"),
-    ):
-        found.append(rows.select("model_id", F.lit(issue).alias("issue"), F.col("name").alias("node_id")))
-    arcs = nets.arc.groupBy("model_id").agg(F.collect_list(F.struct("src", "dst")).alias("arcs"))
-    whole = nodes.groupBy("model_id").agg(F.collect_list(F.struct("name", "kind", "into", "out")).alias("nodes")).join(arcs, "model_id", "left")
-    found.append(whole.mapInPandas(unreached, "model_id string, issue string, node_id string"))
-    all_ = found[0]
-    for more in found[1:]:
-        all_ = all_.unionByName(more)
-    return all_.withColumn("detail", F.concat_ws(": ", F.regexp_replace("issue", "_", " "), "node_id"))
-
-
-def unreached(batches):
-    for batch in batches:
-        rows = []
-        for model, nodes, arcs in zip(batch["model_id"], batch["nodes"], batch["arcs"]):
-            for issue, end, a, b in (("unreachable_from_source", "into", "src", "dst"), ("cannot_reach_sink", "out", "dst", "src")):
-                steps: dict[str, list[str]] = {}
-                for x in arcs if arcs is not None else ():
-                    steps.setdefault(x[a], []).append(x[b])
-                stack = [n["name"] for n in nodes if n["kind"] == "place" and n[end] is None]
-                if not stack:
-                    continue
-                seen = set(stack)
-                while stack:
-                    for x in steps.get(stack.pop(), ()):
-                        if x not in seen:
-                            seen.add(x)
-                            stack.append(x)
-                rows += [(model, issue, n["name"]) for n in nodes if n["name"] not in seen]
-        yield pd.DataFrame(rows, columns=["model_id", "issue", "node_id"])
+    """``model_id, issue, node_id, detail``: what keeps a net from being a workflow net (O-47i)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                found = issues_of({x["name"] for x in row.places}, {x["name"] for x in row.transitions}, [(x["src"], x["dst"]) for x in row.arcs])
+                out += [(row.model_id, issue, node) for issue, node in found]
+            yield pd.DataFrame(out, columns=["model_id", "issue", "node_id"])
+
+    return detailed(collected(nets).mapInPandas(run, "model_id string, issue string, node_id string"))

@@ -28,6 +28,7 @@ ALLOW = (
     r"^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{1,4}$",
 )
 NONE = "array<struct<start:bigint,rank:int,end:bigint>>"
+BLOCKS = f"array<struct<start:bigint,end:bigint,spans:{NONE}>>"
 
 
 def occurrences(text: Column, pattern: str, each: Callable[[Column, Column], Column]) -> Column:
@@ -54,9 +55,20 @@ def span(start: Column, rank: int, length: Column) -> Column:
     return F.array(F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), (start + length).cast("bigint").alias("end")))
 
 
-def remaining(start: Column, end: Column, cuts: Column) -> Column:
-    """The spans that ``cuts``, ordered by start, leave of the one from ``start`` to ``end``."""
-    inside = F.filter(cuts, lambda c: (c["start"] < end) & (start < c["end"]))
+def in_blocks(spans: Column, size: int = 128) -> Column:
+    """Spans, ordered by start, in blocks with the first start and the last end of each, so that those at a place are found without a look at all."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / size).cast("int")), lambda i: F.slice(spans, i * size + 1, size))
+    told = F.transform(blocks, lambda b: F.struct(F.get(b, F.lit(0))["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("spans")))
+    return F.when(F.size(spans) > 0, told).otherwise(F.array().cast(BLOCKS))
+
+
+def overlapping(blocks: Column, start: Column, end: Column) -> Column:
+    meets = lambda c: (c["start"] < end) & (start < c["end"])
+    return F.flatten(F.transform(F.filter(blocks, meets), lambda b: F.filter(b["spans"], meets)))
+
+
+def remaining(start: Column, end: Column, inside: Column) -> Column:
+    """The spans that the spans ``inside``, ordered by start, leave of the one from ``start`` to ``end``."""
 
     def step(acc: Column, c: Column) -> Column:
         left = F.when(acc["at"] < c["start"], F.concat(acc["found"], span(acc["at"], 0, c["start"] - acc["at"]))).otherwise(acc["found"])
@@ -70,38 +82,37 @@ def entropy_span(hit: Column, width: int, least: float) -> Column:
     """``from`` of the first and ``to`` of the last window of ``width`` characters with ``least`` bits a character or more; ``to`` 0 if none.
 
     With counts c in a window of w characters the entropy is log2(w) - sum(c log2 c) / w. The window moves by one character:
-    one count grows and one shrinks, and the sum changes by those two terms.
+    one count grows and one shrinks, and the sum changes by those two terms. Only these two counts are taken, of the window at hand.
     """
     chars = F.transform(F.split(hit, ""), lambda c: F.ascii(c))
     term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
     most = width * (math.log2(width) - least)
-    state = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("count"), F.lit(0.0).alias("sum"), F.lit(-1).alias("from"), F.lit(0).alias("to"), F.lit(0).alias("at")
-    )
 
-    def step(acc: Column, x: Column) -> Column:
-        new, old = x["new"], x["old"]  # old is -1 while the window fills
-        grown, shrunk = F.get(acc["count"], new), F.when(old >= 0, F.get(acc["count"], old)).otherwise(F.lit(0))
-        total = F.when(new == old, acc["sum"]).otherwise(
-            acc["sum"] + F.get(term, grown + 1) - F.get(term, grown)
-            + F.when(old >= 0, F.get(term, shrunk - 1) - F.get(term, shrunk)).otherwise(F.lit(0.0))
-        )
-        count = F.when(new == old, acc["count"]).otherwise(
-            F.transform(acc["count"], lambda c, i: c + F.when(i == new, 1).when(i == old, -1).otherwise(0))
-        )
+    def times(window: Column, x: Column) -> Column:
+        return F.size(F.filter(window, lambda c: c == x))
+
+    def window(x: Column, i: Column) -> Column:
+        """The character, the one that leaves (-1 while the window fills) and the window that they are added to and taken from."""
+        before = F.when(i > 0, F.slice(chars, F.greatest(i - width + 1, F.lit(1)), F.least(i, F.lit(width)))).otherwise(F.array().cast("array<int>"))
+        return F.struct(x.alias("new"), F.when(i >= width, F.element_at(chars, F.greatest(i - width, F.lit(0)) + 1)).otherwise(-1).alias("old"), before.alias("window"))
+
+    def change(m: Column) -> Column:
+        left = F.when(m["old"] >= 0, F.get(term, m["leaves"] - 1) - F.get(term, m["leaves"])).otherwise(F.lit(0.0))
+        return F.when(m["new"] == m["old"], F.lit(0.0)).otherwise(F.get(term, m["comes"] + 1) - F.get(term, m["comes"]) + left)
+
+    moves = F.transform(chars, window)
+    moves = F.transform(moves, lambda m: F.struct(m["new"].alias("new"), m["old"].alias("old"), times(m["window"], m["new"]).alias("comes"), times(m["window"], m["old"]).alias("leaves")))
+    state = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("from"), F.lit(0).alias("to"), F.lit(0).alias("at"))
+
+    def step(acc: Column, delta: Column) -> Column:
+        total = acc["sum"] + delta
         full = (acc["at"] + 1 >= width) & (total <= most + 1e-9)
         return F.struct(
-            count.alias("count"), total.alias("sum"),
-            F.when(full & (acc["from"] < 0), acc["at"] + 1 - width).otherwise(acc["from"]).alias("from"),
+            total.alias("sum"), F.when(full & (acc["from"] < 0), acc["at"] + 1 - width).otherwise(acc["from"]).alias("from"),
             F.when(full, acc["at"] + 1).otherwise(acc["to"]).alias("to"), (acc["at"] + 1).alias("at"),
         )
 
-    moves = F.zip_with(
-        chars, F.concat(F.array_repeat(F.lit(-1), width), chars),
-        lambda a, b: F.struct(a.alias("new"), b.alias("old")),
-    )
-    moves = F.filter(moves, lambda m: m["new"].isNotNull())
-    return F.aggregate(moves, state, step, lambda acc: F.struct(acc["from"].alias("from"), acc["to"].alias("to")))
+    return F.aggregate(F.transform(moves, change), state, step, lambda acc: F.struct(acc["from"].alias("from"), acc["to"].alias("to")))
 
 
 def scan_secrets(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -130,6 +141,7 @@ def scan_secrets(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_
         "hex": occurrences(F.col("text"), HEX, lambda at, hit: span(at, 2, F.length(hit))),
     })
     found = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    found = found.withColumn("blocks", in_blocks(F.col("base")))
 
     allowed = "|".join(ALLOW)
 
@@ -139,7 +151,7 @@ def scan_secrets(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_
 
     def number(rank: int, least: float) -> Callable[[Column, Column], Column]:
         def each(at: Column, hit: Column) -> Column:
-            left = F.flatten(F.transform(hot(at, hit, rank, least), lambda w: remaining(w["start"], w["end"], F.col("base"))))
+            left = F.flatten(F.transform(hot(at, hit, rank, least), lambda w: remaining(w["start"], w["end"], overlapping(F.col("blocks"), w["start"], w["end"]))))
             ranked = F.transform(left, lambda w: F.struct(w["start"].alias("start"), F.lit(rank).alias("rank"), w["end"].alias("end")))
             return F.when(hit.rlike(allowed), F.array().cast(NONE)).otherwise(ranked.cast(NONE))
 
@@ -148,7 +160,8 @@ def scan_secrets(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_
     def parts(rank: int, least: float) -> Callable[[Column, Column], Column]:
         def each(at: Column, hit: Column) -> Column:
             dates = occurrences(hit, DATE, lambda start, date: span(at + start, 0, F.length(date)))
-            left = remaining(at, at + F.length(hit), F.array_sort(F.concat("base", dates)))
+            end = at + F.length(hit)
+            left = remaining(at, end, F.array_sort(F.concat(overlapping(F.col("blocks"), at, end), dates)))
             left = F.filter(left, lambda p: p["end"] - p["start"] >= width)
 
             def spans(p: Column) -> Column:
@@ -194,9 +207,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", char
     ``chars_col``, if there, becomes the new length where a text has changed.
     """
     columns = docs.columns
-    whole = docs.withColumn("_id", F.lit(0)).withColumn("_row", F.struct(*columns))
-    found = scan_secrets(whole.select(F.col("_id").alias("doc_id"), F.col(text_col).alias("text"), F.col("_row")), keep=("_row",))
-    text = F.col("_row")[text_col]
+    whole = docs.select(F.lit(0).alias("doc_id"), docs[text_col].alias("text"), F.struct("*").alias("whole"))
+    found = scan_secrets(whole, keep=("whole",)).withColumnRenamed("whole", "row")
+    text = F.col("row")[text_col]
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
@@ -205,10 +218,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", char
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
     hit = F.size("spans") > 0
-    out = {c: F.col("_row")[c] for c in columns}
-    out[text_col] = F.when(hit, clean).otherwise(text)
-    found = found.withColumn("_text", out[text_col])
-    out[text_col] = F.col("_text")
+    out = {c: F.col("row")[c] for c in columns}
+    found = found.withColumn("clean", F.when(hit, clean).otherwise(text))
+    out[text_col] = F.col("clean")
     if chars_col in columns:
-        out[chars_col] = F.when(hit, F.length("_text").cast(docs.schema[chars_col].dataType)).otherwise(out[chars_col])
+        out[chars_col] = F.when(hit, F.length("clean").cast(docs.schema[chars_col].dataType)).otherwise(out[chars_col])
     return found.select(*[v.alias(k) for k, v in out.items()])

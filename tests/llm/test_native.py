@@ -212,6 +212,31 @@ def test_redaction(spark):
     assert got[2]["text"] == "clean" and got[3]["text"] is None
 
 
+def test_redaction_keeps_all_columns(spark):
+    """Columns may be named like those that the operator uses inside."""
+    names = ["_id", "row", "spans", "clean", "base", "hex", "whole", "blocks", "doc_id"]
+    rows = spark.createDataFrame([("x AKIAABCDEFGHIJKLMN", *range(9)), (None, *range(9)), ("", *[None] * 9)], "text string, " + ", ".join(f"{c} int" for c in names))
+    got = secrets.redact(rows)
+    assert got.columns == rows.columns
+    assert {tuple(r) for r in got.collect()} == {("x [SECRET]", *range(9)), (None, *range(9)), ("", *[None] * 9)}
+    assert secrets.redact(rows.limit(0)).count() == 0
+
+
+def test_thousands_of_matches_in_a_text(spark):
+    import math
+    import random
+
+    draw = random.Random(5)
+    words = [f"AKIA{''.join(draw.choice('ABCDEFGH0123456') for _ in range(16))} {''.join(draw.choice('abcdwxyzEFGHKLMN0123456789') for _ in range(30))}" for _ in range(3000)]
+    row = secrets.digest(secrets.scan_secrets(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"))).first()
+    assert row["n_access"] == 3000 and row["base_sha256"] == hashlib.sha256(",".join(base_spans(" ".join(words))).encode()).hexdigest()
+    expected = 0
+    for run in (w.split(" ")[1] for w in words):
+        bits = [-sum(c / 20 * math.log2(c / 20) for c in Counter(run[i : i + 20]).values()) for i in range(11)]
+        expected += max(bits) >= 3.8 - 1e-9 and not run.isalpha()
+    assert row["spans"].count("access") == 3000 and row["spans"].count("entropy_base64") == expected > 1000
+
+
 TOKEN = "Zx9kQ2mW7vB4nL8pR1tY6uJ3sD5fG0hKqXcVbNmE"
 GLUED = {
     f"id 1234567890123456789-{TOKEN} end": [TOKEN],

@@ -33,9 +33,22 @@ def node_items(models: Models) -> DataFrame:
     return models.node.select("model_id", F.inline(pairs))
 
 
-def first_of_id(values: DataFrame) -> DataFrame:
-    """``model_id, id, value``: one value for each id of ``model_id, id, value, rank, seq``, that of the first element by rank and place in the document."""
-    return values.groupBy("model_id", "id").agg(F.min_by("value", F.struct("rank", "seq", "value")).alias("value"))
+def looked_up(models: Models) -> DataFrame:
+    """``model_id, id, ends, contained``: what an id counts as at a flow's end and inside a lane or subprocess, one row an id.
+
+    At ends: names of activities, events and pools, name or else type of gateways. Inside: name or else type, of gateways the type; pools don't count there.
+    An id that several elements share means the first activity, else event, else pool, else gateway, in the order of the document.
+    """
+    gateway = F.col("kind") == "gateway"
+    rank = F.when(F.col("kind") == "activity", 0).when(F.col("kind") == "event", 1).otherwise(3)
+    nodes = models.node.select(
+        "model_id", "id", F.when(gateway, name_or_type()).otherwise(blank("name")).alias("ends"), F.when(gateway, blank("type")).otherwise(name_or_type()).alias("contained"), rank.alias("rank"), "seq"
+    )
+    pools = models.pool.select("model_id", F.col("pool_id").alias("id"), blank("name").alias("ends"), F.lit(None).cast("string").alias("contained"), F.lit(2).alias("rank"), "seq")
+    place = lambda c: F.struct("rank", "seq", c)
+    return nodes.unionByName(pools).groupBy("model_id", "id").agg(
+        F.min_by("ends", place("ends")).alias("ends"), F.min_by("contained", F.when(F.col("contained").isNotNull(), place("contained"))).alias("contained")
+    )
 
 
 def with_values(flows: DataFrame, values: DataFrame) -> DataFrame:
@@ -54,33 +67,21 @@ def rank_of(*kinds: str) -> Column:
     return rank
 
 
-def flow_items(models: Models) -> DataFrame:
-    """``source|target`` of top-level flows: names of activities, events and pools, name or else type of gateways, '' for unknown ends.
-
-    An id that several elements share means the first activity, else event, else pool, else gateway.
-    """
-    value = F.when(F.col("kind") == "gateway", name_or_type()).otherwise(blank("name"))
-    values = models.node.select("model_id", "id", value.alias("value"), F.when(F.col("kind") == "gateway", 3).otherwise(rank_of("activity", "event")).alias("rank"), "seq")
-    values = values.unionByName(models.pool.select("model_id", F.col("pool_id").alias("id"), blank("name").alias("value"), F.lit(2).alias("rank"), "seq"))
+def flow_items(models: Models, values: DataFrame) -> DataFrame:
+    """``source|target`` of top-level flows, '' for unknown ends."""
     flows = models.flow.filter(F.col("flow_kind").isin("sequence", "message"))
     key = F.when(F.col("flow_kind") == "sequence", "seq_flows_str").otherwise("mes_flows_str")
-    return with_values(flows, first_of_id(values)).select("model_id", key.alias("key"), F.concat(blank("source"), F.lit("|"), blank("target")).alias("item"))
-
-
-def contained_values(models: Models) -> DataFrame:
-    """What an element inside a lane or subprocess counts as: name or else type, of gateways the type. The first activity, else event, else gateway of an id counts."""
-    value = F.when(F.col("kind") == "gateway", blank("type")).otherwise(name_or_type())
-    values = models.node.select("model_id", "id", value.alias("value"), rank_of("activity", "event", "gateway").alias("rank"), "seq")
-    return first_of_id(values).withColumnRenamed("id", "ref_id")
+    ends = with_values(flows, values.select("model_id", "id", F.col("ends").alias("value")))
+    return ends.select("model_id", key.alias("key"), F.concat(blank("source"), F.lit("|"), blank("target")).alias("item"))
 
 
-def lane_items(models: Models) -> DataFrame:
+def lane_items(models: Models, contained: DataFrame) -> DataFrame:
     pools = models.pool.select("model_id", "pool_id", blank("name").alias("pool"))
     lanes = models.lane.select("model_id", "pool_id", "lane_id", blank("name").alias("lane"))
     bare = pools.join(lanes.select("model_id", "pool_id"), ["model_id", "pool_id"], "left_anti").filter("pool <> ''")
     groups = lanes.join(pools, ["model_id", "pool_id"])
     named = groups.filter("pool <> '' or lane <> ''")
-    refs = groups.join(models.lane_member, ["model_id", "pool_id", "lane_id"]).join(contained_values(models), ["model_id", "ref_id"])
+    refs = groups.join(models.lane_member, ["model_id", "pool_id", "lane_id"]).join(contained, ["model_id", "ref_id"])
     refs = refs.filter("value <> ''")
     out = bare.select("model_id", F.lit("lane_names").alias("key"), F.col("pool").alias("item"))
     out = out.unionByName(named.select("model_id", F.lit("lane_names").alias("key"), F.concat("pool", F.lit("|"), "lane").alias("item")))
@@ -96,8 +97,8 @@ def subprocess_scopes(models: Models) -> DataFrame:
     return own.withColumn("scope", F.when(F.col("name") != "", F.col("name")).otherwise(F.concat(F.lit("__sp"), place)))
 
 
-def subprocess_items(models: Models) -> DataFrame:
-    scopes, values = subprocess_scopes(models), contained_values(models)
+def subprocess_items(models: Models, values: DataFrame) -> DataFrame:
+    scopes = subprocess_scopes(models)
     names = scopes.filter("name <> ''").select("model_id", F.lit("subprocess_names").alias("key"), F.col("name").alias("item"))
     own = scopes.select("model_id", "subprocess_id", "scope")
     refs = models.subprocess_member.join(own, ["model_id", "subprocess_id"]).join(values, ["model_id", "ref_id"]).filter("value <> ''")
@@ -110,7 +111,9 @@ def subprocess_items(models: Models) -> DataFrame:
 
 def extract_items(models: Models) -> DataFrame:
     """``model_id, key, item``: one row for each item of each family; items repeat."""
-    return node_items(models).unionByName(flow_items(models)).unionByName(lane_items(models)).unionByName(subprocess_items(models))
+    values = looked_up(models)
+    contained = values.filter("contained is not null").select("model_id", F.col("id").alias("ref_id"), F.col("contained").alias("value"))
+    return node_items(models).unionByName(flow_items(models, values)).unionByName(lane_items(models, contained)).unionByName(subprocess_items(models, contained))
 
 
 def item_counts(items: DataFrame) -> DataFrame:

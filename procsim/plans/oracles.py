@@ -249,6 +249,12 @@ round(CASE WHEN n1 + n2 > 0 THEN score ELSE 0 END, 6) AS score, n1 + n2 > 0 AS p
     "net_status": rows("model_id VARCHAR, variants BIGINT, partials BIGINT, deadlocks BIGINT, status VARCHAR, summary VARCHAR",
         *[(f"{m}", n, 0, 0, "sound", f"sound: {n} variant(s)") for m, n in (("both.bpmn", 2), ("choice.bpmn", 2), ("claim.bpmn", 2), ("editor.json", 2), ("empty.bpmn", 1), ("line.bpmn", 1), ("renamed.bpmn", 1))],
         ("loop.bpmn", 2, 1, 0, "unsound_recovered", "2 sound variant(s), 1 partial trace(s); 1 loop-cap hit(s)"), ("nojoin.bpmn", 0, 4, 1, "unsound_no_variants", "0 sound variant(s), 4 partial trace(s); 1 distinct deadlock marking(s)")),
+    # b tasks that never join end b times. Two ends are let through (the loop depth): with b = 2 all ways run dry in one marking, 2 orders times 2 ways; with more,
+    # a third end is refused after 3 or 4 tasks and 2 ends, of which there are b! / (b - j)! orders times C(j + 2, 2) - C(j + 2, 1) ways
+    "net_corpus": """WITH c AS (SELECT DISTINCT 'c' || CAST(c_custkey AS VARCHAR) AS model_id, c_custkey % 4 AS kind, c_custkey // 16 % 3 + 2 AS b FROM customer)
+SELECT model_id, CAST(CASE kind WHEN 0 THEN b WHEN 1 THEN CASE b WHEN 2 THEN 2 WHEN 3 THEN 6 ELSE 24 END WHEN 2 THEN 0 ELSE 2 END AS BIGINT) AS variants,
+CAST(CASE kind WHEN 2 THEN CASE b WHEN 2 THEN 4 WHEN 3 THEN 30 ELSE 336 END WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS partials, CAST(CASE WHEN kind = 2 AND b = 2 THEN 1 ELSE 0 END AS BIGINT) AS deadlocks,
+CAST(CASE WHEN kind = 3 THEN 1 WHEN kind = 2 AND b = 3 THEN 30 WHEN kind = 2 AND b = 4 THEN 336 ELSE 0 END AS BIGINT) AS loop_hits, CASE kind WHEN 2 THEN 'unsound_no_variants' WHEN 3 THEN 'unsound_recovered' ELSE 'sound' END AS status FROM c""",
     "net_findings": rows("model_id VARCHAR, issue VARCHAR, node_id VARCHAR", ("cut", "isolated_node", "a"), ("cut", "dead_transition_no_preset", "a"), ("cut", "unreachable_from_source", "a"), ("cut", "cannot_reach_sink", "a")),
     "net_arcs": rows("model_id VARCHAR, src VARCHAR, dst VARCHAR, weight INTEGER", *[(m, a, b, 1) for m, text in NET_ARCS.items() for a, b in (x.split(" ") for x in text.split(", "))]),
     "name_mapping_models": rows("model_a VARCHAR, model_b VARCHAR, scope VARCHAR, name2 VARCHAR, name1 VARCHAR, score DOUBLE",

@@ -16,7 +16,6 @@ from procsim.operators.explore import extract_traces
 from procsim.plans import samples
 from procsim.sources import adapters
 from procsim.sources.load import load_texts, to_json
-from procsim.storage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUSTOM = {"elements": 0.4, "flows": 0.3, "organizational": 0.2, "subprocess": 0.1}
@@ -91,8 +90,7 @@ def behavioral_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_models(spark: SparkSession, sf_dir: str) -> Models:
-    """The tables of a corpus are written once and then read by many operators, as a user would have them."""
-    return adapters.nation_models(spark, sf_dir).map(lambda name, df: staged(df, f"nation-{name}"))
+    return adapters.nation_models(spark, sf_dir)
 
 
 def nation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +262,11 @@ def net_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_traces(sample_models(spark)).diagnostics.select("model_id", "variants", "partials", "deadlocks", "status", "summary")
 
 
+def net_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nets of a corpus with a model a customer."""
+    return extract_traces(adapters.customer_models(spark, sf_dir)).diagnostics.select("model_id", "variants", "partials", "deadlocks", "loop_hits", "status")
+
+
 def net_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [
         ("cut", "event", "s", "S", "StartNoneEvent"), ("cut", "event", "e", "E", "EndNoneEvent"), ("cut", "activity", "a", "A", "Task"),
@@ -338,7 +341,7 @@ QUERIES: dict[str, Query] = {
     "bpmn_nodes": partial(sample_table, name="node", columns=["model_id", "kind", "id", "name", "type", "parent_subprocess", "expanded"]),
     "bpmn_flows": partial(sample_table, name="flow", columns=["model_id", "flow_kind", "id", "source_ref", "target_ref", "label", "owner"]),
     "bpmn_lanes": partial(sample_table, name="lane_member", columns=["model_id", "pool_id", "lane_id", "ref_id"]),
-    "sample_similarity": sample_similarity, "net_variants": net_variants, "net_status": net_status, "net_findings": net_findings, "net_arcs": net_arcs,
+    "sample_similarity": sample_similarity, "net_variants": net_variants, "net_status": net_status, "net_corpus": net_corpus, "net_findings": net_findings, "net_arcs": net_arcs,
     "model_json": model_json, "viewer_pages": viewer_pages,
     "report_health": of_runs(report.run_health), "report_sizes": of_runs(lambda r: report.size_quantiles(report.model_sizes(r))),
     "report_stage_stats": of_runs(report.stage_statistics), "report_stage_share": of_runs(report.stage_shares), "report_stage_numbers": stage_numbers,

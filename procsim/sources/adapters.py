@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from procsim.models import Models
+from procsim.models import SCHEMAS, Models
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,37 @@ def nation_models(spark: SparkSession, sf_dir: str) -> Models:
     return Models(node, flow, pool, lane, member, inside)
 
 
+def customer_models(spark: SparkSession, sf_dir: str) -> Models:
+    """A small model a customer, of four kinds by the key: a choice, a parallel part, a parallel part that never joins, a loop.
+
+    Each has a start, a row of one to four tasks A1, A2, ..., two to four branches B1, B2, ... (the loop has none) and an end.
+    """
+    c = F.col("c_custkey")
+    given = read(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), c.cast("string")).alias("model_id"), (c % 4).alias("kind"), (F.floor(c / 4) % 4 + 1).cast("int").alias("row"), (F.floor(c / 16) % 3 + 2).cast("int").alias("wide")
+    ).distinct()
+    none, kind = F.lit(None).cast("string"), F.col("kind")
+    many = lambda n, build: F.transform(F.sequence(F.lit(1), n), build)
+    named = lambda mark: lambda i: F.concat(F.lit(mark), i.cast("string"))
+    node = lambda of, key, name, type_: F.struct(F.lit(of).alias("kind"), key.alias("id"), name.alias("name"), F.lit(type_).alias("type") if isinstance(type_, str) else type_.alias("type"))
+    task = lambda mark: lambda i: node("activity", named(mark)(i), named(mark)(i), "Task")
+    gate = F.when(kind.isin(0, 3), "Exclusive").otherwise("Parallel")
+    nodes = F.concat(
+        F.array(node("event", F.lit("s"), F.lit("Begin"), "StartNoneEvent"), node("event", F.lit("e"), F.lit("Done"), "EndNoneEvent"), node("gateway", F.lit("g"), F.lit(""), gate)),
+        many(F.col("row"), task("A")), F.when(kind < 3, many(F.col("wide"), task("B"))).otherwise(F.array()), F.when(kind < 2, F.array(node("gateway", F.lit("h"), F.lit(""), gate))).otherwise(F.array()),
+    )
+    edge = lambda s, t: F.struct(s.alias("source_ref"), t.alias("target_ref"))
+    last, after = named("A")(F.col("row")), F.when(kind < 2, "h").otherwise("e")
+    edges = F.concat(
+        F.array(edge(F.lit("s"), F.lit("A1")), edge(last, F.lit("g"))), F.when(F.col("row") > 1, F.transform(F.sequence(F.lit(2), F.greatest(F.col("row"), F.lit(2))), lambda i: edge(named("A")(i - 1), named("A")(i)))).otherwise(F.array()),
+        F.when(kind < 3, F.concat(many(F.col("wide"), lambda i: edge(F.lit("g"), named("B")(i))), many(F.col("wide"), lambda i: edge(named("B")(i), after)))).otherwise(F.array(edge(F.lit("g"), F.lit("A1")), edge(F.lit("g"), F.lit("e")))),
+        F.when(kind < 2, F.array(edge(F.lit("h"), F.lit("e")))).otherwise(F.array()),
+    )
+    node = given.select("model_id", F.inline(nodes)).select("model_id", "kind", "id", "name", "type", none.alias("parent_subprocess"), F.lit(False).alias("expanded"), F.lit(0).cast("long").alias("seq"))
+    flow = given.select("model_id", F.inline(edges)).select("model_id", F.lit("sequence").alias("flow_kind"), F.concat_ws("-", "source_ref", "target_ref").alias("id"), "source_ref", "target_ref", none.alias("label"), none.alias("owner"))
+    return Models.of_rows(spark).union(Models(node, flow, *[spark.createDataFrame([], SCHEMAS[t]) for t in ("pool", "lane", "lane_member", "subprocess_member")]))
+
+
 def user_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``model_id, trace``: a model a user, a case a day, its trace the event types in order of time."""
     events = read(spark, sf_dir, "events")

@@ -10,26 +10,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_own_folder: str | None = None
+_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """This process's folder in the one that driver and executors share (``spark.checkpoint.dir``); it goes when the process ends.
 
-    Only where the session names none, and only on a local master, a temporary
-    folder of this process takes its place; it goes when the process ends.
+    Only where the session names none, and only on a local master, a temporary folder takes its place.
     """
-    global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.partition("[")[0] != "local":
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
-    if _own_folder is None:
-        made = tempfile.mkdtemp(prefix="procsim-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        _own_folder = f"file://{made}"
-    return _own_folder
+    if (named or "") not in _folders:
+        if named:
+            _folders[named] = f"{named.rstrip('/')}/procsim-{uuid.uuid4().hex}"
+            atexit.register(clear, spark, named)
+        else:
+            made = tempfile.mkdtemp(prefix="procsim-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _folders[""] = f"file://{made}"
+    return _folders[named or ""]
+
+
+def clear(spark: SparkSession, named: str = "") -> None:
+    """Remove what this process has staged, as far as the session still runs; DataFrames that read it can't be used any more."""
+    folder = _folders.get(named or spark.conf.get("spark.checkpoint.dir", None) or "")
+    if folder is None or spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +48,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     and values that depend on the partitioning stay as they were written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/procsim-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from procsim.functions.vocabulary import activity_type
 from procsim.models import Models
+from procsim.storage import staged
 
 KEYS = (
     "activity_names", "activity_types", "event_names", "event_types", "gateway_names", "gateway_types", "seq_flows_str",
@@ -46,7 +47,7 @@ def looked_up(models: Models) -> DataFrame:
     )
     pools = models.pool.select("model_id", F.col("pool_id").alias("id"), blank("name").alias("ends"), F.lit(None).cast("string").alias("contained"), F.lit(2).alias("rank"), "seq")
     place = lambda c: F.struct("rank", "seq", c)
-    return nodes.unionByName(pools).groupBy("model_id", "id").agg(
+    return nodes.unionByName(pools).groupBy("id", "model_id").agg(
         F.min_by("ends", place("ends")).alias("ends"), F.min_by("contained", F.when(F.col("contained").isNotNull(), place("contained"))).alias("contained")
     )
 
@@ -110,8 +111,8 @@ def subprocess_items(models: Models, values: DataFrame) -> DataFrame:
 
 
 def extract_items(models: Models) -> DataFrame:
-    """``model_id, key, item``: one row for each item of each family; items repeat."""
-    values = looked_up(models)
+    """``model_id, key, item``: one row for each item of each family; items repeat. What ids stand for is written once, as five joins read it."""
+    values = staged(looked_up(models), "values")
     contained = values.filter("contained is not null").select("model_id", F.col("id").alias("ref_id"), F.col("contained").alias("value"))
     return node_items(models).unionByName(flow_items(models, values)).unionByName(lane_items(models, contained)).unionByName(subprocess_items(models, contained))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procsim.storage import staged
+
 
 def is_dense(pairs: DataFrame, part: float = 0.125) -> bool:
     """Whether the pairs are a good part of all pairs of their models."""
@@ -12,6 +14,29 @@ def is_dense(pairs: DataFrame, part: float = 0.125) -> bool:
     return n >= part * a * b
 
 
+def many_matches(sets: DataFrame, pairs: DataFrame) -> bool:
+    """Whether most pairs have so many tokens in common that going through both sets costs less than making each match a row (16 times as much as a step)."""
+    n, models = pairs.count(), sets.select("model_id").distinct().count()
+    often = sets.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    tokens, matches = often.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+    return bool(n and models) and 16 * matches > 2 * n * tokens / models
+
+
+def shared_tokens(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``model_a, model_b, shared`` of the distinct ``model_id, token``.
+
+    Where models have most tokens in common, tokens are numbered, a model's numbers become one array, and a pair's arrays are
+    intersected where they meet. Elsewhere models meet at their tokens.
+    """
+    if not many_matches(sets, pairs):
+        return shared_counts(sets.withColumn("n", F.lit(1).cast("long")), pairs, ["token"], [])
+    numbers = staged(sets.select("token").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    arrays = staged(sets.join(numbers, "token").groupBy("model_id").agg(F.collect_list("number").alias("own")), "arrays")
+    of_a, of_b = (arrays.select(F.col("model_id").alias(f"model_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
+    met = pairs.select("model_a", "model_b").join(of_a, "model_a").join(of_b, "model_b")
+    return met.select("model_a", "model_b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("shared"))
+
+
 def shared_counts(counts: DataFrame, pairs: DataFrame, token: list[str], by: list[str], block: int = 1024) -> DataFrame:
     """``model_a, model_b, *by, shared``: for each pair the sum of least(n_a, n_b) over the tokens of both.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procsim.functions.metrics import check_method, set_metric
-from procsim.operators.matching import shared_counts
+from procsim.operators.matching import shared_tokens
 from procsim.storage import staged
 
 START, END = "<START>", "<END>"
@@ -57,9 +57,9 @@ def trace_statistics(traces: DataFrame, models: DataFrame | None = None) -> Data
 
 def overlaps(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     """``model_a, model_b, n1, n2, shared`` of the distinct ``model_id, token`` sets of the pairs; tokens are compared whole."""
-    once = staged(tokens.select("model_id", "token").distinct().withColumn("n", F.lit(1).cast("long")), "tokens")
+    once = staged(tokens.select("model_id", "token").distinct(), "tokens")
     sizes = once.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
-    shared = shared_counts(once, pairs, ["token"], [])
+    shared = shared_tokens(once, pairs)
     out = pairs.join(sizes.select(F.col("model_id").alias("model_a"), F.col("n").alias("n1")), "model_a", "left")
     out = out.join(sizes.select(F.col("model_id").alias("model_b"), F.col("n").alias("n2")), "model_b", "left")
     out = out.join(shared, ["model_a", "model_b"], "left")

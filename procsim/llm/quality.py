@@ -230,3 +230,9 @@ def classify(docs: DataFrame, threshold: float = 0.5, dimensions: int = 4096, sa
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bad), pa.array(label), pa.array(bad < threshold)], names=[*batch.schema.names, "_bad", "_label", "_keep"])
 
     return docs.mapInArrow(run, schema)
+
+
+def good_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that ``classify`` keeps, all columns as they were, whatever their names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return classify(plain, text_col=f"c{docs.columns.index(text_col)}", **options).filter("_keep").drop("_bad", "_label", "_keep").toDF(*docs.columns)

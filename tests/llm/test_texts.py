@@ -431,3 +431,80 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
     assert docs.filter(F.col("text").rlike("AKIA[A-Z0-9]{14,}")).count() == 0
     assert corpus_pipeline.run(spark, FOLDER).count() == packed.count()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _keep int, row string, rid long, copies int, target string, _times int"
+GOOD = "The river ran past the old mill and the people of the village came down to it every evening to talk about their long days of work. "
+TAIL = "and so on they went until night fell over all the fields and nobody could see the road home any more"
+
+
+def odd_documents(spark):
+    rest = (1, "r", 2, 3, "t", 4)
+    rows = [(1, None, "en", "a", None, *rest), (2, "", "en", None, 0, *rest), (None, GOOD * 3, "en", "a", 1, *rest), (None, None, None, None, None, *[None] * 6)]
+    rows += [(5, GOOD * 2 + "AKIAABCDEFGHIJKLMN " + TAIL, "en", "b", 1, *rest)] * 4  # repeated rows
+    rows += [(6, "w" * 300_000, "en", "b", 300_000, *rest), (7, GOOD * 400, "en", "a", 1, *rest), (7, GOOD + "Another one of the same id.", "en", "a", 1, *rest)]
+    return spark.createDataFrame(rows, ODD).repartition(3)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_on_odd_rows(spark, name, stage):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, and an empty table."""
+    docs = odd_documents(spark)
+    out = stage(spark, docs, FOLDER)
+    rows, given = out.collect(), docs.collect()
+    assert stage(spark, docs.limit(0), FOLDER).count() == 0
+    if name == "packing":
+        assert sum(r["piece"] == 0 for r in rows) == len(given)
+        return
+    assert out.columns == docs.columns
+    if name == "quality":
+        assert {r["text"] for r in rows} >= {r["text"] for r in given if r["text"] is None or GOOD in r["text"]}
+    if name == "near_duplicates":
+        stay = [r for r in given if r["doc_id"] != 5 and (r["doc_id"] or not r["text"])]  # three times the sentence has the shingles of 400 times
+        assert sorted(map(repr, rows)) == sorted(map(repr, [*stay, next(r for r in given if r["doc_id"] == 5)]))
+    if name == "secrets":
+        assert len(rows) == len(given) and all(r["text"] is None or "AKIA" not in r["text"] for r in rows)
+        assert [r["n_chars"] for r in rows if r["doc_id"] == 5] == [len(GOOD) * 2 + len("[SECRET] " + TAIL)] * 4
+    if name == "mixing":
+        assert set(rows) <= set(given) and [r for r in rows if r["doc_id"] == 7]
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage of the pipeline against plain definitions on what the stage before it kept."""
+    import hashlib
+    import re
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = [corpus_pipeline.staged(docs, "none")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept.append(corpus_pipeline.staged(stage(spark, kept[-1], FOLDER), name))
+    start, good, single, clean, mixed = ([r.asDict() for r in x.collect()] for x in kept)
+    judged = {r["doc_id"]: r["_keep"] for r in quality.classify(docs).collect()}  # itself held against brute force above
+    assert sorted(r["doc_id"] for r in good) == sorted(r["doc_id"] for r in start if judged[r["doc_id"]])
+    first = {i: c for i, (c, _, _) in brute([(r["doc_id"], r["text"]) for r in good]).items()}
+    assert sorted(r["doc_id"] for r in single) == sorted(r["doc_id"] for r in good if first.get(r["doc_id"], r["doc_id"]) == r["doc_id"])
+    assert [r["doc_id"] for r in sorted(clean, key=lambda r: r["doc_id"])] == sorted(r["doc_id"] for r in single)
+    before = {r["doc_id"]: r["text"] for r in single}
+    for r in clean:
+        pieces = (r["text"] or "").split("[SECRET]")
+        assert re.fullmatch(".+?".join(map(re.escape, pieces)), before[r["doc_id"]] or "", re.S)
+        assert not re.search("AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", r["text"] or "")
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    size = Counter()
+    for r in clean:
+        size[r["source"]] += words(r["text"])
+    order, goal, free, left = sorted(size), {}, set(size), sum(size.values())
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 3 * size[s]]
+        goal |= {s: 3 * size[s] for s in over} or {s: level * weight[s] for s in free}
+        left -= sum(goal[s] for s in over)
+        free -= set(over) or free
+    expected = Counter()
+    for r in clean:
+        rate = min(3.0, goal[r["source"]] / size[r["source"]]) if size[r["source"]] else 0.0
+        mark = hashlib.md5(f"42:{r['doc_id']}:{r['source']}:{words(r['text'])}:0".encode()).hexdigest()[:8]
+        expected[r["doc_id"]] = int(rate) + (int(mark, 16) / 2**32 < rate - int(rate))
+    assert Counter(r["doc_id"] for r in mixed) == +expected

@@ -5,6 +5,8 @@ from __future__ import annotations
 from procsim.functions.metrics import METHODS
 from procsim.operators.items import KEYS
 from procsim.operators.rollup import CATEGORIES, GROUPS
+from procsim.operators.viewer import PAGE, TAIL, VIEWER
+from procsim.plans.samples import DOCUMENTS
 
 CASES = """cases AS (SELECT CAST(user_id AS VARCHAR) AS model_id, list(event_type ORDER BY ts, event_id) AS trace FROM events GROUP BY user_id, CAST(ts AS DATE)),
 tr AS (SELECT DISTINCT model_id, trace FROM cases),
@@ -191,9 +193,13 @@ def stage_stats(source: str, stages: tuple[str, ...]) -> str:
 EVENTS = "pin:s e:s, e:s pout:s, pout:s g1, t:g2->e pin:e, pin:e e:e, e:e pout:e"
 NET_ARCS = {
     "both.bpmn": f"{EVENTS}, g1 p:g1->a, p:g1->a a, g1 p:g1->b, p:g1->b b, a p:a->g2, p:a->g2 g2, b p:b->g2, p:b->g2 g2, g2 p:g2->e, p:g2->e t:g2->e",
+    "gates.bpmn": "_start x1, x2 _end, p2 _end, x1 gout:x1, gout:x1 t:x1->x2, t:x1->x2 gin:x2, gin:x2 x2, gout:x1 t:x1->p1, t:x1->p1 q:x1->p1, q:x1->p1 p1, "
+    "p1 p:p1->x2, p:p1->x2 t:p1->x2, t:p1->x2 gin:x2, p1 p:p1->p2, p:p1->p2 t:p1->p2, t:p1->p2 q:p1->p2, q:p1->p2 p2",
     "choice.bpmn": f"{EVENTS}, g1 gout:g1, gout:g1 a, gout:g1 b, a gin:g2, b gin:g2, gin:g2 g2, g2 gout:g2, gout:g2 t:g2->e",
 }
 
+VIEWER_HEAD = PAGE.format(viewer=VIEWER, height=500)
+
 ORACLES: dict[str, str] = {
     "trace_variants": f"WITH {CASES} SELECT model_id, array_to_string(trace, '>') AS trace, count(*) AS n FROM cases GROUP BY ALL",
     "trace_stats": f"WITH {CASES} {stats('tr')}",
@@ -204,7 +210,8 @@ ORACLES: dict[str, str] = {
     **{f"ngram_sim_{n}_jaccard": ngram_sim(n, "jaccard") for n in (1, 3)},
     "ngram_unpadded": ngram_sim(2, "jaccard", False), "trace_compare": COMPARE, "shared_variants": SHARED_VARIANTS,
     "set_overlap": f"WITH {CASES}, {WHOLE} SELECT model_a, model_b, n1 - shared AS only_1, shared, n2 - shared AS only_2, n1 + n2 - shared AS either FROM ov",
-    "behavioral_active": f"WITH {CASES}, {overlap('gr', grams(3))} SELECT model_a, model_b, round({metric('jaccard')}, 6) AS score FROM gr",
+    "behavioral_active_trace": f"WITH {CASES}, {WHOLE} SELECT model_a, model_b, round({null_if_empty(metric('jaccard'))}, 6) AS score FROM ov",
+    **{f"behavioral_active_{n}": f"WITH {CASES}, {overlap('gr', grams(n))} SELECT model_a, model_b, round({metric('jaccard')}, 6) AS score FROM gr" for n in (1, 3, 5)},
     **{f"items_{k}": f"WITH {MODELS} SELECT model_id, item, n FROM ct WHERE key = '{k}'" for k in KEYS},
     "index_list": f"WITH {MODELS} SELECT model_id, key, item || CAST(row_number() OVER (PARTITION BY model_id, key, item) AS VARCHAR) AS indexed FROM it",
     **{f"fine_scores_{m}": f"WITH {FINE} SELECT model_a, model_b, key, n1, n2, shared, round({metric(m)}, 6) AS score FROM fn" for m in METHODS},
@@ -257,6 +264,17 @@ CAST(CASE kind WHEN 2 THEN CASE b WHEN 2 THEN 4 WHEN 3 THEN 30 ELSE 336 END WHEN
 CAST(CASE WHEN kind = 3 THEN 1 WHEN kind = 2 AND b = 3 THEN 30 WHEN kind = 2 AND b = 4 THEN 336 ELSE 0 END AS BIGINT) AS loop_hits, CASE kind WHEN 2 THEN 'unsound_no_variants' WHEN 3 THEN 'unsound_recovered' ELSE 'sound' END AS status FROM c""",
     "net_findings": rows("model_id VARCHAR, issue VARCHAR, node_id VARCHAR", ("cut", "isolated_node", "a"), ("cut", "dead_transition_no_preset", "a"), ("cut", "unreachable_from_source", "a"), ("cut", "cannot_reach_sink", "a")),
     "net_arcs": rows("model_id VARCHAR, src VARCHAR, dst VARCHAR, weight INTEGER", *[(m, a, b, 1) for m, text in NET_ARCS.items() for a, b in (x.split(" ") for x in text.split(", "))]),
+    "net_states": rows("model_id VARCHAR, variants BIGINT, partials BIGINT, deadlocks BIGINT, loop_hits BIGINT, status VARCHAR", ("fine", 1, 0, 0, 0, "sound"), ("stuck", 0, 1, 1, 0, "unsound_no_variants"),
+        ("half", 1, 1, 1, 0, "unsound_recovered"), ("ring", 0, 1, 0, 1, "structurally_broken"), ("long", 0, 0, 0, 0, "exploration_truncated"), ("loose", 1, 3, 0, 3, "unsound_recovered")),
+    "net_issues": rows("model_id VARCHAR, issue VARCHAR, node_id VARCHAR", *[("stuck", f"multiple_{k}_places", x) for k, xs in (("source", ("p0", "p2")), ("sink", ("p1", "p2"))) for x in xs], ("stuck", "isolated_node", "p2"),
+        ("half", "multiple_sink_places", "p1"), ("half", "multiple_sink_places", "p2"), ("ring", "no_source_place", None), ("ring", "no_sink_place", None),
+        *[("loose", f"multiple_{k}_places", x) for k, xs in (("source", ("p0", "p3")), ("sink", ("p1", "p2"))) for x in xs], ("loose", "dead_transition_no_preset", "t2"), ("loose", "dead_transition_no_postset", "t3"),
+        *[("loose", "unreachable_from_source", x) for x in ("t2", "p2")], *[("loose", "cannot_reach_sink", x) for x in ("t3", "p3")]),
+    "repeated_ids": rows("key VARCHAR, item VARCHAR, n BIGINT", ("activity_names", "First", 1), ("activity_names", "Second", 1), ("activity_types", "Task", 1), ("activity_types", "User", 1), ("event_names", "Over", 1), ("event_types", "EndNoneEvent", 1),
+        ("gateway_names", "Which", 1), ("gateway_types", "Exclusive", 1), ("seq_flows_str", "First|Shop", 1), ("seq_flows_str", "Shop|", 1), ("mes_flows_str", "Shop|First", 1), ("lane_names", "Shop|Desk", 1), ("lane_with_refs", "Shop|Desk|First", 1), ("lane_with_refs", "Shop|Desk|Exclusive", 1)),
+    "name_mapping_nested": rows("scope VARCHAR, name2 VARCHAR, name1 VARCHAR, score DOUBLE", ("activity", "Load van again", "Load van again", 1), ("activity__subprocess", "Drive homes", "Drive home", 0.909091)),
+    "collapsed_types": rows("model_id VARCHAR, item VARCHAR, n BIGINT", ("outer1.json", "Task", 2), ("outer1.json", "Subprocess", 2), ("outer2.json", "Task", 2), ("outer2.json", "Subprocess", 1)),
+    "viewer_pages": f"""SELECT 'empty.bpmn' AS model_id, '<iframe src="data:text/html;base64,' || to_base64(encode('{VIEWER_HEAD}' || to_base64(encode('{DOCUMENTS["empty.bpmn"]}')) || '{TAIL}')) || '" width="100%" height="500" style="border:0"></iframe>' AS html""",
     "name_mapping_models": rows("model_a VARCHAR, model_b VARCHAR, scope VARCHAR, name2 VARCHAR, name1 VARCHAR, score DOUBLE",
         *[("line.bpmn", b, k, n, n, 1) for b, k, n in (("choice.bpmn", "activity", "Pick"), ("choice.bpmn", "activity", "Pack"), ("choice.bpmn", "event", "Begin"), ("choice.bpmn", "event", "Done"), ("renamed.bpmn", "event", "Begin"), ("renamed.bpmn", "event", "Done"))]),
     "mapping_summary": rows("model_a VARCHAR, model_b VARCHAR, category VARCHAR, matches BIGINT", ("line.bpmn", "choice.bpmn", "activity", 2), ("line.bpmn", "choice.bpmn", "event", 2), ("line.bpmn", "renamed.bpmn", "event", 2)),

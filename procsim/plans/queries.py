@@ -12,7 +12,7 @@ from procsim.functions import vocabulary
 from procsim.functions.metrics import METHODS
 from procsim.models import Models
 from procsim.operators import dashboard, items, normalize, petri, report, rollup, traces, viewer
-from procsim.operators.explore import extract_traces
+from procsim.operators.explore import extract_traces, traces_of_nets
 from procsim.plans import samples
 from procsim.sources import adapters
 from procsim.sources.load import load_texts, to_json
@@ -78,12 +78,13 @@ def shared_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("model_a", "model_b", "side").agg(F.count(F.lit(1)).alias("n"), F.min(F.array_join("trace", ">")).alias("first_trace"))
 
 
-def behavioral_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+def behavioral_active(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
+    """The score in use: that of n-grams, or without ``n`` that of whole traces."""
     cases, pairs = user_pairs(spark, sf_dir)
     whole = traces.trace_similarity(cases, pairs).select("model_a", "model_b", F.col("score").alias("trace_score"))
-    grams = traces.ngram_similarity(cases, pairs, 3).select("model_a", "model_b", F.col("score").alias("ngram_score"))
+    grams = traces.ngram_similarity(cases, pairs, n or 2).select("model_a", "model_b", F.col("score").alias("ngram_score"))
     both = whole.join(grams, ["model_a", "model_b"])
-    return rounded(both.select("model_a", "model_b", dashboard.behavioral_score(both, True).alias("score")))
+    return rounded(both.select("model_a", "model_b", dashboard.behavioral_score(both, n is not None).alias("score")))
 
 
 # structure
@@ -279,7 +280,51 @@ def net_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def net_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return petri.compile_nets(load_texts(spark, {k: samples.DOCUMENTS[k] for k in ("choice.bpmn", "both.bpmn")}).models).arc
+    return petri.compile_nets(load_texts(spark, {k: samples.DOCUMENTS[k] for k in ("choice.bpmn", "both.bpmn")} | {"gates.bpmn": samples.GATES}).models).arc
+
+
+def hand_nets(spark: SparkSession) -> petri.Nets:
+    """The sample nets; transitions are labelled by their numbers."""
+    places, transitions, arcs, marks = [], [], [], []
+    for name, (steps, more, *marking) in samples.NETS.items():
+        ends = [tuple(x.split(">")) for x in steps.split(" ")]
+        nodes = {x for e in ends for x in e} | set(more.split())
+        places += [(name, x) for x in nodes if x[0] == "p"]
+        transitions += [(name, x, "JABCDEFGHI"[int(x[1])]) for x in nodes if x[0] == "t"]
+        arcs += [(name, a, b, 1) for a, b in ends]
+        marks += [(name, which, *x.split(":")) for which, x in zip(("initial", "final"), marking)]
+    make = lambda rows, schema: spark.createDataFrame(rows, "model_id string, " + schema)
+    return petri.Nets(
+        spark.createDataFrame([(n,) for n in samples.NETS], "model_id string"),
+        make(places, "name string"), make(transitions, "name string, label string"), make(arcs, "src string, dst string, weight int"),
+        make([(m, w, p, int(n)) for m, w, p, n in marks], "which string, place string, tokens int"),
+    )
+
+
+def net_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nets by hand of all five statuses, explored up to six states each."""
+    return traces_of_nets(hand_nets(spark), depth=2, most_states=6).diagnostics.select("model_id", "variants", "partials", "deadlocks", "loop_hits", "status")
+
+
+def net_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return petri.findings(hand_nets(spark)).select("model_id", "issue", "node_id")
+
+
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a model in which elements share ids."""
+    return items.item_counts(items.extract_items(load_texts(spark, {"repeated.bpmn": samples.REPEATED}).models)).select("key", "item", "n")
+
+
+def nested_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names inside subprocesses are matched among themselves, by the edit distance."""
+    pairs = spark.createDataFrame([("outer1.json", "outer2.json")], "model_a string, model_b string")
+    found = normalize.all_mappings(load_texts(spark, samples.NESTED).models, pairs, normalize.edit_similarity, 0.7)
+    return rounded(found.select("scope", "name2", "name1", "score"))
+
+
+def collapsed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of activities as compared: a collapsed subprocess is a subprocess."""
+    return items.extract_items(load_texts(spark, samples.NESTED).models).filter("key = 'activity_types'").groupBy("model_id", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
 def model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +333,7 @@ def model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def viewer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.createDataFrame([("empty.bpmn", samples.DOCUMENTS["empty.bpmn"])], "model_id string, xml string")
-    return given.select("model_id", F.length(viewer.viewer_iframe(F.col("xml"))).cast("long").alias("chars"))
+    return given.select("model_id", viewer.viewer_iframe(F.col("xml")).alias("html"))
 
 
 # run table
@@ -324,7 +369,8 @@ QUERIES: dict[str, Query] = {
     **{f"ngram_sim_2_{m}": partial(ngram_sim, n=2, method=m) for m in METHODS},
     **{f"ngram_sim_{n}_jaccard": partial(ngram_sim, n=n, method="jaccard") for n in (1, 3)},
     "ngram_unpadded": partial(ngram_sim, n=2, method="jaccard", pad=False),
-    "trace_compare": trace_compare, "set_overlap": set_overlap, "shared_variants": shared_variants, "behavioral_active": behavioral_active,
+    "trace_compare": trace_compare, "set_overlap": set_overlap, "shared_variants": shared_variants, 
+    **{f"behavioral_active_{n or 'trace'}": partial(behavioral_active, n=n) for n in (None, 1, 3, 5)},
     **{f"items_{k}": partial(items_of, key=k) for k in items.KEYS}, "index_list": index_list,
     **{f"fine_scores_{m}": partial(fine_scores, method=m) for m in METHODS},
     "data_presence": data_presence, "pair_weight": pair_weights, "grouped_scores": grouped_scores, "high_level": high_level,
@@ -341,7 +387,8 @@ QUERIES: dict[str, Query] = {
     "bpmn_nodes": partial(sample_table, name="node", columns=["model_id", "kind", "id", "name", "type", "parent_subprocess", "expanded"]),
     "bpmn_flows": partial(sample_table, name="flow", columns=["model_id", "flow_kind", "id", "source_ref", "target_ref", "label", "owner"]),
     "bpmn_lanes": partial(sample_table, name="lane_member", columns=["model_id", "pool_id", "lane_id", "ref_id"]),
-    "sample_similarity": sample_similarity, "net_variants": net_variants, "net_status": net_status, "net_corpus": net_corpus, "net_findings": net_findings, "net_arcs": net_arcs,
+    "sample_similarity": sample_similarity, "net_variants": net_variants, "net_status": net_status, "net_corpus": net_corpus, "net_states": net_states, "net_issues": net_issues, "repeated_ids": repeated_ids,
+    "name_mapping_nested": nested_mapping, "collapsed_types": collapsed_types, "net_findings": net_findings, "net_arcs": net_arcs,
     "model_json": model_json, "viewer_pages": viewer_pages,
     "report_health": of_runs(report.run_health), "report_sizes": of_runs(lambda r: report.size_quantiles(report.model_sizes(r))),
     "report_stage_stats": of_runs(report.stage_statistics), "report_stage_share": of_runs(report.stage_shares), "report_stage_numbers": stage_numbers,

@@ -63,3 +63,30 @@ DOCUMENTS = {
     "claim.bpmn": CLAIM,
     "editor.json": EDITOR,
 }
+
+#: Gateways that follow gateways, of all four kinds of pairs.
+GATES = process("exclusiveGateway:x1", "exclusiveGateway:x2", "parallelGateway:p1", "parallelGateway:p2", flows="x1>x2 x1>p1 p1>x2 p1>p2")
+#: Two tasks and an event of one id, and a pool and a gateway of another: the first task and the pool count at ends of flows.
+REPEATED = (
+    f'{HEAD}<collaboration id="k"><participant id="x" name="Shop" processRef="main"/><messageFlow id="m" sourceRef="x" targetRef="a"/></collaboration>'
+    '<process id="main"><laneSet id="ls"><lane id="L" name="Desk"><flowNodeRef>a</flowNodeRef><flowNodeRef>x</flowNodeRef></lane></laneSet>'
+    '<endEvent id="a" name="Over"/><task id="a" name="First"/><userTask id="a" name="Second"/><exclusiveGateway id="x" name="Which"/>'
+    '<sequenceFlow id="f1" sourceRef="a" targetRef="x"/><sequenceFlow id="f2" sourceRef="x" targetRef="gone"/></process></definitions>'
+)
+#: Subprocesses, one of them collapsed, whose inner names are matched by themselves.
+NESTED = {
+    "outer1.json": """{"stencil": {"id": "BPMNDiagram"}, "childShapes": [{"resourceId": "t", "stencil": {"id": "Task"}, "properties": {"name": "Load van"}},
+ {"resourceId": "c", "stencil": {"id": "CollapsedSubprocess"}, "properties": {"name": "Load van again"}},
+ {"resourceId": "u", "stencil": {"id": "Subprocess"}, "properties": {"name": "Trip"}, "childShapes": [{"resourceId": "i", "stencil": {"id": "Task"}, "properties": {"name": "Drive home"}}]}]}""",
+    "outer2.json": """{"stencil": {"id": "BPMNDiagram"}, "childShapes": [{"resourceId": "t", "stencil": {"id": "Task"}, "properties": {"name": "Drive home"}},
+ {"resourceId": "c", "stencil": {"id": "Subprocess"}, "properties": {"name": "Load van again"}, "childShapes": [{"resourceId": "i", "stencil": {"id": "Task"}, "properties": {"name": "Drive homes"}}]}]}""",
+}
+#: Nets by hand: arcs (places are p..., transitions t...), further places, start and end marking.
+NETS = {
+    "fine": ("p0>t1 t1>p1", "", "p0:1", "p1:1"),
+    "stuck": ("p0>t1 t1>p1", "p2", "p0:1", "p2:1"),
+    "half": ("p0>t1 t1>p1 p0>t2 t2>p2", "", "p0:1", "p1:1"),
+    "ring": ("p0>t1 t1>p1 p1>t2 t2>p0", "", "p0:1", "p1:2"),
+    "long": (" ".join(f"p{i}>t{i} t{i}>p{i + 1}" for i in range(9)), "", "p0:1", "p9:1"),
+    "loose": ("p0>t1 t1>p1 t2>p2 p3>t3", "", "p0:1", "p1:1"),
+}

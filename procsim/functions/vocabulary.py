@@ -65,12 +65,12 @@ STENCILS = {
     "Associations": ("Association_Undirected", "Association_Unidirectional", "Association_Bidirectional"),
     "Message Flows": ("MessageFlow",),
 }
-#: Shapes that play no part in a net, in lower case.
+# Shapes that play no part in a net, in lower case.
 NO_PART = (
     "sequenceflow", "messageflow", "dataobject", "pool", "lane", "textannotation", "association_undirected",
     "association_bidirectional", "association_unidirectional", "group", "collapsedpool", "itsystem", "datastore",
 )
-#: Labels that don't make an event visible in traces, in lower case.
+# Labels that don't make an event visible in traces, in lower case.
 GENERIC_EVENTS = ("startevent", "endevent", "intermediatethrowevent", "intermediatecatchevent", "boundaryevent", "event")
 
 

@@ -180,6 +180,7 @@ def diagnose(explored: DataFrame) -> DataFrame:
         .when(F.col("capped") | F.col("stopped"), "exploration_truncated")
         .otherwise("sound")
     )
+    # fixed values: the wording of the summary
     part = lambda hit, text: F.when(hit, text)
     parts = F.concat_ws(
         ", ",

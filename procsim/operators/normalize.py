@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,12 +97,31 @@ def embedded(vectors: DataFrame) -> Callable[[DataFrame, DataFrame, list[str], f
     return build
 
 
-def all_mappings(models: Models, pairs: DataFrame, similarity: Callable[[Column, Column], Column] = gram_similarity, threshold: float = 0.7) -> DataFrame:
-    """``model_a, model_b, scope, name2, name1, score`` for all scopes of all pairs in one plan (O-42); ``model_a`` gives the words."""
+Embed = Callable[[list[str]], Sequence[Sequence[float]]]
+
+
+def vectors_of(names: DataFrame, embed: Embed) -> DataFrame:
+    """``name, vector`` of the distinct names: ``embed`` gives a vector for each string of a list and sees every distinct name once, in Arrow batches (O-45)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [[float(x) for x in v] for v in embed(batch.column("name").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(vectors, pa.list_(pa.float64()))], names=["name", "vector"])
+
+    return staged(names.select("name").filter("name is not null").distinct().mapInArrow(run, "name string, vector array<double>"), "vectors")
+
+
+def all_mappings(models: Models, pairs: DataFrame, similarity: Callable[[Column, Column], Column] = gram_similarity, threshold: float = 0.7, embed: Embed | None = None) -> DataFrame:
+    """``model_a, model_b, scope, name2, name1, score`` for all scopes of all pairs in one plan (O-42); ``model_a`` gives the words.
+
+    ``embed``, if given, takes the place of ``similarity``: names are compared by the cosine of its vectors.
+    """
     names = atomic_names(models).unionByName(atomic_names(models, inside=True))
     by = ["model_a", "model_b", "scope"]
     first = pairs.join(names.withColumnRenamed("model_id", "model_a"), "model_a")
     second = pairs.join(names.withColumnRenamed("model_id", "model_b"), "model_b")
+    if embed is not None:
+        return embedded(vectors_of(names, embed))(first, second, by, threshold)
     return build_mapping(first, second, by, similarity, threshold)
 
 
@@ -126,9 +146,9 @@ def rename(models: Models, pairs: DataFrame, mapping: DataFrame) -> Models:
     return models.map(change)
 
 
-def normalize(models: Models, pairs: DataFrame, similarity: Callable[[Column, Column], Column] = gram_similarity, threshold: float = 0.7) -> tuple[Models, DataFrame]:
+def normalize(models: Models, pairs: DataFrame, similarity: Callable[[Column, Column], Column] = gram_similarity, threshold: float = 0.7, embed: Embed | None = None) -> tuple[Models, DataFrame]:
     """Renamed second models (also of pairs without any match) and the mapping (O-44)."""
-    mapping = all_mappings(models, pairs, similarity, threshold)
+    mapping = all_mappings(models, pairs, similarity, threshold, embed)
     return rename(models, pairs, mapping), mapping
 
 

@@ -223,7 +223,7 @@ ORACLES: dict[str, str] = {
     "overall_custom": f"WITH {WIDE} SELECT model_a, model_b, round({USER}, 6) AS overall FROM al",
     "weights_used": f"WITH {WIDE} SELECT model_a, model_b, has_expanded_subprocess, {', '.join(f'weight_{c}' for c in CATEGORIES)} FROM al",
     **{f"hybrid_{w}": hybrid(w / 100) for w in (0, 25, 50, 100)},
-    "hybrid_nulls": rows("model_a VARCHAR, hybrid DOUBLE, structural_weight DOUBLE, behavioral_weight DOUBLE", ("a", 0.55, 0.25, 0.75), ("b", 0.65, 0.25, 0.75), ("c", 0.4, 0, 1), ("d", 0.7, 1, 0), ("e", None, 0, 0)),
+    "hybrid_nulls": rows("model_a VARCHAR, hybrid DOUBLE, structural_weight DOUBLE, behavioral_weight DOUBLE", ("a", 0.6875, 0.25, 0.75), ("b", 0.35, 0.25, 0.75), ("c", 0.15, 0, 1), ("d", 0.95, 1, 0), ("e", None, 0, 0)),
     "weighted_contrib": f"""WITH {WIDE}, lg AS ({" UNION ALL ".join(f"SELECT model_a, model_b, '{c}' AS category, high_{c} AS score, {w} AS w FROM al WHERE high_{c} IS NOT NULL" for c, w in CUSTOM.items())})
 SELECT model_a, model_b, category, round(score, 6) AS score, round(score * CAST(w AS DOUBLE) / sum(w) OVER p, 6) AS contribution, round(score / count(*) OVER p, 6) AS equal_contribution FROM lg WINDOW p AS (PARTITION BY model_a, model_b)""",
     "user_overall": f"""WITH {WIDE} SELECT model_a, model_b, round({USER}, 6) AS user_overall, round({mean([("1.0", f"high_{c}") for c in CATEGORIES])}, 6) AS equal_overall,

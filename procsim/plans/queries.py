@@ -153,7 +153,7 @@ def hybrid(spark: SparkSession, sf_dir: str, weight: float) -> DataFrame:
 
 
 def hybrid_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 0.4, 0.6), ("b", 0.2, 0.8), ("c", None, 0.4), ("d", 0.7, None), ("e", None, None)]
+    rows = [("a", 0.125, 0.875), ("b", 0.5, 0.3), ("c", None, 0.15), ("d", 0.95, None), ("e", None, None)]
     given = spark.createDataFrame(rows, "model_a string, s double, b double").withColumn("model_b", F.lit("z"))
     out = rollup.hybrid(given.withColumnRenamed("s", "overall"), given.withColumnRenamed("b", "score"), 0.25)
     return rounded(out.select("model_a", "hybrid", "structural_weight", "behavioral_weight"))

@@ -13,7 +13,26 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
+SUB = (
+    '<subProcess id="u" name="Body"><task id="x" name="Enter"/><task id="y" name="Middle"/><task id="z" name="Exit"/>'
+    '<sequenceFlow id="i1" sourceRef="x" targetRef="y"/><sequenceFlow id="i2" sourceRef="y" targetRef="z"/>{more}</subProcess>'
+    '<sequenceFlow id="o1" sourceRef="s" targetRef="u"/><sequenceFlow id="o2" sourceRef="u" targetRef="e"/>'
+)
+POOLS = (
+    f'{samples.HEAD}<collaboration id="k"><participant id="P" processRef="one"/><participant id="Q" processRef="two"/>'
+    '<messageFlow id="m" sourceRef="a" targetRef="b"/><messageFlow id="n" sourceRef="P" targetRef="b"/></collaboration>'
+    '<process id="one"><startEvent id="s" name="Go"/><task id="a" name="Send"/><sequenceFlow id="f" sourceRef="s" targetRef="a"/></process>'
+    '<process id="two"><task id="b" name="Get"/><endEvent id="e" name="End"/><sequenceFlow id="g" sourceRef="b" targetRef="e"/></process></definitions>'
+)
 TRAPS = {
+    "q3.bpmn": process(START, END, flows="", extra=SUB.format(more="")),
+    "q4.bpmn": process(START, END, flows="", extra=SUB.format(more='<task id="w" name="Other"/><sequenceFlow id="i3" sourceRef="y" targetRef="w"/>')),
+    "q6.bpmn": POOLS,
+    "q7.bpmn": process(START, "startEvent:r:Other", "task:a:A", "exclusiveGateway:g", END, flows="s>a a>g r>g g>e"),
+    "q10.bpmn": process(START, "task:a:A", "task:b:Loose", END, flows="s>a a>e b>e"),
+    "q17.bpmn": process(START, flows="", extra='<subProcess id="o"><subProcess id="i"><task id="t" name="Deep"/></subProcess><task id="v" name="Flat"/></subProcess>'),
+    "q19.bpmn": process(START, END, flows="", extra='<subProcess id="o" name="O"><subProcess id="i" name="I"><task id="t" name="T"/><task id="v" name="V"/><sequenceFlow id="j" sourceRef="t" targetRef="v"/></subProcess>'
+                        '<task id="w" name="W"/><sequenceFlow id="k" sourceRef="i" targetRef="w"/></subProcess><sequenceFlow id="l" sourceRef="s" targetRef="o"/><sequenceFlow id="m" sourceRef="o" targetRef="e"/>'),
     "q1.bpmn": process(START, "eventBasedGateway:g", "task:a:A", END, flows="s>g g>a a>e"),
     "q2.bpmn": process("startEvent:s", "task:a:A", "endEvent:e", flows="s>a a>e"),
     "q5.bpmn": process("startEvent:s:One", "startEvent:z:Two", "task:a:A", END, flows="s>a z>a a>e"),
@@ -62,6 +81,65 @@ def test_q2_unnamed_events_show_their_type(found):
     assert found[0]["q2.bpmn"] == {("StartNoneEvent", "A", "EndNoneEvent")}
 
 
+def test_q3_boundary_tasks_show_their_ids(found):
+    assert found[0]["q3.bpmn"] == {("Begin", "x", "Middle", "z", "Done")}
+
+
+def test_q4_body_with_two_ends_is_a_part_of_its_own(found):
+    """The subprocess stays one step, and its flows make variants of their own."""
+    assert ("Begin", "Body", "Done") in found[0]["q4.bpmn"]
+    assert any("Middle" in t for t in found[0]["q4.bpmn"] | found[1].get("q4.bpmn", set()))
+
+
+def test_q6_message_flows_are_arcs_and_pools_are_none(found, loaded):
+    assert found[0]["q6.bpmn"] == {("Go", "Send", "Get", "End")}
+    arcs = petri.compile_nets(loaded.models).arc.filter("model_id = 'q6.bpmn'")
+    assert not [r for r in arcs.collect() if "P" in r["src"].replace("p:", "") and r["src"].startswith("P")]
+
+
+def test_q7_choice_after_event_and_task_waits_for_both(found, loaded):
+    """The event's place and the task's place both lead to the gateway, so that neither alone can pass."""
+    arcs = petri.compile_nets(loaded.models).arc.filter("model_id = 'q7.bpmn' and dst = 'g'")
+    assert {r["src"] for r in arcs.collect()} == {"gin:g", "pout:r"}
+    assert not found[0].get("q7.bpmn")
+
+
+def test_q10_task_without_incoming_flow_is_always_ready(found):
+    assert found[2]["q10.bpmn"]["loop_hits"] > 0
+    assert any(t.count("Loose") == 2 for t in found[1]["q10.bpmn"])
+
+
+def test_q15_lanes_hold_subprocess_content_in_editor_files_only(loaded):
+    members = set(rows(loaded.models.lane_member, "model_id", "ref_id"))
+    assert ("editor.json", "ut") in members and ("claim.bpmn", "ut") not in members
+
+
+def test_q16_parent_is_an_id_or_a_name(loaded):
+    parents = {(m, p) for m, p in rows(loaded.models.node.filter("parent_subprocess is not null"), "model_id", "parent_subprocess")}
+    assert ("editor.json", "u") in parents and ("q3.bpmn", "Body") in parents
+
+
+def test_q17_unnamed_subprocesses_are_numbered_from_inside(loaded):
+    got = items.extract_items(loaded.models).filter("model_id = 'q17.bpmn' and key = 'subprocess_elemrefs'")
+    assert ("__sp0|Deep",) in rows(got, "item") and ("__sp1|Flat",) in rows(got, "item")
+
+
+def test_q18_two_empty_sides(spark):
+    from procsim.operators import traces
+
+    nothing = spark.createDataFrame([], "model_id string, trace array<string>")
+    pairs = spark.createDataFrame([("a", "b")], "model_a string, model_b string")
+    assert traces.trace_similarity(nothing, pairs).first()["score"] is None
+    assert [traces.ngram_similarity(nothing, pairs, 2, m).first()["score"] for m in ("jaccard", "precision")] == [1.0, 0.0]
+
+
+def test_q19_inlining_is_one_hop(loaded):
+    """The outer body's entry is itself inlined: its flow ends at a node that is led on one step only."""
+    arcs = {(r["src"], r["dst"]) for r in petri.compile_nets(loaded.models).arc.filter("model_id = 'q19.bpmn'").collect()}
+    ends = {x for a in arcs for x in a}
+    assert "i" in ends and "o" not in ends
+
+
 def test_q5_several_starts_are_alternatives(found):
     assert found[0]["q5.bpmn"] == {("One", "A", "Done"), ("Two", "A", "Done")}
 
@@ -99,18 +177,16 @@ def simple_net(arcs, labels, end):
 
 
 def test_hand_built_nets():
-    net = simple_net([("p0", "t1"), ("t1", "p1"), ("p1", "t2"), ("t2", "p9")], {"t1": "A", "t2": "B"}, "p9")
-    assert explore.explore(net, 3, 1000).variants == {("A", "B")}
-    net = simple_net([("p0", "t1"), ("t1", "p0"), ("p0", "t2"), ("t2", "p9")], {"t1": "L", "t2": "X"}, "p9")
-    got = explore.explore(net, 2, 1000)
-    assert got.variants == {("X",), ("L", "X"), ("L", "L", "X")} and got.partials == {("L", "L")} and got.loops["t1"] == 1
-    net = simple_net([("p0", "t1"), ("t1", "p9"), ("p0", "t2"), ("t2", "p8")], {"t1": "GOOD", "t2": "BAD"}, "p9")
-    got = explore.explore(net, 3, 1000)
-    assert (got.variants, got.partials, len(got.deadlocks)) == ({("GOOD",)}, {("BAD",)}, 1)
-    net = simple_net([("p0", "t1"), ("t1", "p1"), ("p0", "t2"), ("t2", "p1"), ("p1", "t3"), ("t3", "p8")], {"t1": "X1", "t2": "X2", "t3": "D"}, "p9")
-    got = explore.explore(net, 3, 1000)
-    assert got.partials == {("X1", "D"), ("X2", "D")} and len(got.deadlocks) == 1
-    assert explore.explore(net, 3, 1).stopped
+    both = simple_net([("p0", "ta"), ("ta", "p1"), ("ta", "p2"), ("p1", "tb"), ("tb", "p3"), ("p2", "tc"), ("tc", "p4"), ("p3", "td"), ("p4", "td"), ("td", "p5")], {"tb": "Heat", "tc": "Stir", "td": "Serve"}, "p5")
+    assert explore.explore(both, 3, 1000).variants == {("Heat", "Stir", "Serve"), ("Stir", "Heat", "Serve")}
+    lift = simple_net([("p0", "tu"), ("tu", "p1"), ("p1", "td"), ("td", "p0"), ("p1", "tx"), ("tx", "p2")], {"tu": "Up", "td": "Down", "tx": "Out"}, "p2")
+    got = explore.explore(lift, 2, 1000)
+    assert got.variants == {("Up", "Out"), ("Up", "Down", "Up", "Out")} and got.partials == {("Up", "Down", "Up", "Down")} and got.loops == {"tu": 1}
+    fork = simple_net([("p0", "ta"), ("ta", "p1"), ("p1", "tb"), ("tb", "p2"), ("p1", "tc"), ("tc", "p3"), ("p3", "td"), ("td", "p4")], {"ta": "Ask", "tb": "Yes", "tc": "No", "td": "Leave"}, "p2")
+    got = explore.explore(fork, 3, 1000)
+    assert (got.variants, got.partials, list(got.deadlocks.values())) == ({("Ask", "Yes")}, {("Ask", "No", "Leave")}, [("Ask", "No", "Leave")])
+    assert explore.explore(fork, 3, 2).stopped and not explore.explore(fork, 3, 100).stopped
+    assert explore.explore(both, 3, 1000, cap=1).capped
 
 
 def test_random_nets_against_recursion():
@@ -157,8 +233,8 @@ def test_q13_unnamed_items_match(spark):
 
 
 def test_index_items(spark):
-    given = spark.createDataFrame([("m", "k", x) for x in "abccdb"], "model_id string, key string, item string")
-    assert [r["indexed"] for r in items.index_items(given).orderBy("indexed").collect()] == ["a1", "b1", "b2", "c1", "c2", "d1"]
+    given = spark.createDataFrame([("m", "k", x) for x in ("Ship", "", "Bill", "Ship", "", "Ship")], "model_id string, key string, item string")
+    assert [r["indexed"] for r in items.index_items(given).orderBy("indexed").collect()] == ["1", "2", "Bill1", "Ship1", "Ship2", "Ship3"]
 
 
 def test_greedy_ties(spark):

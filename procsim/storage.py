@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -14,7 +16,7 @@ _folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This process's folder in the one that driver and executors share (``spark.checkpoint.dir``); it goes when the process ends.
+    """This process's folder in the one that driver and executors share (``spark.checkpoint.dir``); it goes when the process ends, if a session still runs then.
 
     Only where the session names none, and only on a local master, a temporary folder takes its place.
     """
@@ -24,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     if (named or "") not in _folders:
         if named:
             _folders[named] = f"{named.rstrip('/')}/procsim-{uuid.uuid4().hex}"
-            atexit.register(clear, spark, named)
+            atexit.register(_clear_at_exit, named)
         else:
             made = tempfile.mkdtemp(prefix="procsim-")
             atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -32,6 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[named or ""]
 
 
+def _clear_at_exit(named: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Py4JError):  # the JVM may be going as well
+            clear(spark, named)
+
+
 def clear(spark: SparkSession, named: str = "") -> None:
     """Remove what this process has staged, as far as the session still runs; DataFrames that read it can't be used any more."""
     folder = _folders.get(named or spark.conf.get("spark.checkpoint.dir", None) or "")

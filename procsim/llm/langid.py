@@ -127,13 +127,15 @@ class Model:
     escape: np.ndarray
 
     @classmethod
-    def of(cls, counts: pd.DataFrame, order: int) -> "Model":
+    def of(cls, counts: pa.Table, order: int) -> "Model":
         """From ``lang, gram, n``. Method C: a context seen t times with q kinds of symbol gives n / (t + q) to a symbol and q / (t + q) to the escape."""
-        languages = sorted(counts["lang"].unique(), key=lambda x: x.encode())
-        column = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
-        grams, row = np.unique(counts["gram"].to_numpy(np.int64).astype(np.uint64), return_inverse=True)  # sorted by order first
+        coded = counts["lang"].combine_chunks().dictionary_encode()  # no Python string a row
+        met = coded.dictionary.to_pylist()
+        languages = sorted(met, key=lambda x: x.encode())
+        column = np.array([languages.index(x) for x in met], np.int64)[coded.indices.to_numpy()]
+        grams, row = np.unique(counts["gram"].to_numpy().astype(np.uint64), return_inverse=True)  # sorted by order first
         n = np.zeros((len(grams), len(languages)))
-        np.add.at(n, (row, column), counts["n"].to_numpy(float))
+        np.add.at(n, (row, column), counts["n"].to_numpy())
         contexts, parent = np.unique(context_of(grams), return_inverse=True)
         total, kinds = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
         np.add.at(total, parent, n)
@@ -224,7 +226,7 @@ def fit(docs: DataFrame, order: int, sample_bytes: int, most_cells: int = 200_00
                         yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n})
 
     grams = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = grams.toPandas()  # n-grams of the bounded sample
+    counts = grams.toArrow()  # n-grams of the bounded sample; as columns, for rows of Python objects take many times their memory
     return Model.of(counts, order) if len(counts) else None
 
 

@@ -408,6 +408,15 @@ def test_sample_of_distinct_whole_texts(spark):
     assert 100 <= sum(len(r["text"]) for r in sample if r["lang"] == "aa") <= 200
 
 
+def test_ngrams_reach_the_driver_as_columns(spark, monkeypatch):
+    """Only sums by language and step of the hash are made rows of Python objects on the driver, not the n-grams of the sample."""
+    docs = spark.createDataFrame([(1, "some words here " * 50 + "".join(map(chr, range(200, 2000))), "aa"), (4, "andere Worte " * 50, "bb")], "doc_id long, text string, lang string")
+    rows, made = [], type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: rows.append(len(found := made(self))) or found)
+    model = langid.fit(docs, 4, 10**6)
+    assert len(model.cost) > 5000 and sum(rows) <= 2 * 256
+
+
 def test_very_long_texts_in_bounded_memory(spark):
     """A text of megabytes without a blank takes some hundred bytes a byte of a chunk, not of the text."""
     import tracemalloc

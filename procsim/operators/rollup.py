@@ -94,11 +94,24 @@ def structural_similarity(items: DataFrame, pairs: DataFrame, method: str = "dic
     return roll_up(fine_scores(items, pairs, method), weights)
 
 
-def hybrid(structural: DataFrame, behavioral: DataFrame, structural_weight: float = 0.5) -> DataFrame:
-    """Blend ``overall`` of one side with ``score`` of the other (O-39); pairs that one side lacks have null there."""
+def hybrid(structural: DataFrame, behavioral: DataFrame, structural_weight: float = 0.5, among: DataFrame | None = None, few: int = 100_000) -> DataFrame:
+    """Blend ``overall`` of one side with ``score`` of the other (O-39); pairs that one side lacks have null there.
+
+    ``among``: the models of whose pairs ``model_a < model_b``, all of them, ``behavioral`` has a row each. Its rows then stay where they are, if ``structural``
+    has at most ``few``: these are sent to them, and the pairs that only ``structural`` has are told by their models.
+    """
     score, ws, wb = blend(F.col("structural"), F.col("behavioral"), structural_weight)
     left = structural.select("model_a", "model_b", F.col("overall").alias("structural"))
     right = behavioral.select("model_a", "model_b", F.col("score").alias("behavioral"))
-    return left.join(right, ["model_a", "model_b"], "full").select(
+    if among is not None:
+        left = staged(left, "structural")
+    if among is None or left.count() > few:
+        both = left.join(right, ["model_a", "model_b"], "full")
+    else:
+        ids = among.select("model_id").distinct()
+        known = [left.select(f"model_{x}").distinct().join(ids.select(F.col("model_id").alias(f"model_{x}")), f"model_{x}").withColumn(f"known_{x}", F.lit(True)) for x in "ab"]
+        alone = left.join(known[0], "model_a", "left").join(known[1], "model_b", "left").filter(~(F.col("model_a") < F.col("model_b")) | F.col("known_a").isNull() | F.col("known_b").isNull())
+        both = right.join(F.broadcast(left), ["model_a", "model_b"], "left").unionByName(alone.select("model_a", "model_b", "structural", F.lit(None).cast("double").alias("behavioral")))
+    return both.select(
         "model_a", "model_b", "structural", "behavioral", score.alias("hybrid"), ws.alias("structural_weight"), wb.alias("behavioral_weight")
     )

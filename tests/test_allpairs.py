@@ -64,3 +64,38 @@ def test_pairs_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().sparkPlan().toString()
     above = plan.split("MapInArrow")[0]
     assert "MapInArrow" in plan and not any(x in above for x in ("SortMergeJoin", "ShuffledHashJoin", "CartesianProduct", "NestedLoop", "Aggregate", "Exchange"))
+
+
+@pytest.mark.parametrize("codes", [1 << 62, 1])
+def test_counted_pairs(spark, monkeypatch, codes):
+    """Pairs counted by their numbers, by model and not, are those listed; so are the pairs of some numbers."""
+    from collections import Counter
+
+    monkeypatch.setattr(allpairs, "CODES", codes)
+    models = [f"m{i}" for i in range(30)]
+    kinds = {k: spark.createDataFrame(sorted((m, t) for m, ts in draws(models).items() for t in ts if t < most), "model_id string, token string") for k, most in (("p", "t3"), ("q", "t9"))}
+    ids = spark.createDataFrame([(m,) for m in models], "model_id string")
+    pairs = allpairs.all_overlaps(kinds, ids, 7).collect()
+    numbers = ["n1_p", "n2_p", "shared_p", "n1_q", "n2_q", "shared_q"]
+    got, want = Counter(), Counter(tuple(r[c] for c in numbers) for r in pairs)
+    for r in allpairs.all_overlap_counts(kinds, ids, numbers, block=7).collect():
+        got[tuple(r[c] for c in numbers)] += r["pairs"]
+    assert got == want
+    got = Counter()
+    for r in allpairs.all_overlap_counts(kinds, ids, ["n1_p", "shared_p"], True, 7).collect():
+        got[tuple(r)[:-1]] += r["pairs"]
+    assert got == Counter((r[f"model_{x}"], r[f"n{i}_p"], r[f"n{i}_q"], r["n1_p"], r["shared_p"]) for r in pairs for i, x in enumerate("ab", 1))
+    only = [dict(zip(numbers, x)) for x in sorted(want)[::5]]
+    assert sorted(map(tuple, allpairs.all_overlaps(kinds, ids, 7, only).collect())) == sorted(tuple(r) for r in pairs if {c: r[c] for c in numbers} in only)
+
+
+@pytest.mark.parametrize("name", ["report_size_buckets", "report_slowest_model", "report_stage_stats", "report_size_hist", "report_top_pairs", "report_per_model"])
+def test_reports_read_counted_pairs(spark, name, monkeypatch):
+    """No report has a table of all pairs made; only the slowest pairs are, by their numbers."""
+    from procsim.plans import queries
+
+    kept, made = [], queries.all_overlaps
+    monkeypatch.setattr(queries, "all_overlaps", lambda *a, only, **k: kept.append(only) or made(*a, only=only, **k))
+    monkeypatch.setattr(traces, "all_overlaps", None)
+    assert QUERIES[name](spark, FOLDER).count() and len(kept) == (name == "report_top_pairs")
+

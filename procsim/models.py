@@ -16,6 +16,9 @@ SCHEMAS = {
     "lane_member": "model_id string, pool_id string, lane_id string, ref_id string",
     "subprocess_member": "model_id string, subprocess_id string, ref_id string",
 }
+#: Further columns that a table may have: what the ids it names count as, where the table's maker has the elements at hand. Items then take these and look
+#: nothing up: at ends of top-level flows the name (of gateways name or else type), inside lanes and subprocesses name or else type (of gateways the type).
+KNOWN = {"flow": ("source", "target"), "lane_member": ("value",), "subprocess_member": ("value",)}
 
 
 @dataclass

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from procsim.functions.vocabulary import activity_type
-from procsim.models import Models
+from procsim.models import KNOWN, Models
 from procsim.storage import staged
 
 KEYS = (
@@ -68,22 +68,32 @@ def rank_of(*kinds: str) -> Column:
     return rank
 
 
-def flow_items(models: Models, values: DataFrame) -> DataFrame:
+def knows(table: DataFrame, name: str) -> bool:
+    """Whether the table itself says what the ids it names count as."""
+    return set(KNOWN[name]) <= set(table.columns)
+
+
+def flow_items(models: Models, values: DataFrame | None) -> DataFrame:
     """``source|target`` of top-level flows, '' for unknown ends."""
     flows = models.flow.filter(F.col("flow_kind").isin("sequence", "message"))
     key = F.when(F.col("flow_kind") == "sequence", "seq_flows_str").otherwise("mes_flows_str")
-    ends = with_values(flows, values.select("model_id", "id", F.col("ends").alias("value")))
+    ends = flows if knows(flows, "flow") else with_values(flows, values.select("model_id", "id", F.col("ends").alias("value")))
     return ends.select("model_id", key.alias("key"), F.concat(blank("source"), F.lit("|"), blank("target")).alias("item"))
 
 
-def lane_items(models: Models, contained: DataFrame) -> DataFrame:
+def members(table: DataFrame, name: str, contained: DataFrame | None) -> DataFrame:
+    """The members with their ``value``; those without any are left out."""
+    own = table if knows(table, name) else table.join(contained, ["model_id", "ref_id"])
+    return own.filter("value <> ''")
+
+
+def lane_items(models: Models, contained: DataFrame | None) -> DataFrame:
     pools = models.pool.select("model_id", "pool_id", blank("name").alias("pool"))
     lanes = models.lane.select("model_id", "pool_id", "lane_id", blank("name").alias("lane"))
     bare = pools.join(lanes.select("model_id", "pool_id"), ["model_id", "pool_id"], "left_anti").filter("pool <> ''")
     groups = lanes.join(pools, ["model_id", "pool_id"])
     named = groups.filter("pool <> '' or lane <> ''")
-    refs = groups.join(models.lane_member, ["model_id", "pool_id", "lane_id"]).join(contained, ["model_id", "ref_id"])
-    refs = refs.filter("value <> ''")
+    refs = groups.join(members(models.lane_member, "lane_member", contained), ["model_id", "pool_id", "lane_id"])
     out = bare.select("model_id", F.lit("lane_names").alias("key"), F.col("pool").alias("item"))
     out = out.unionByName(named.select("model_id", F.lit("lane_names").alias("key"), F.concat("pool", F.lit("|"), "lane").alias("item")))
     return out.unionByName(refs.select("model_id", F.lit("lane_with_refs").alias("key"), F.concat("pool", F.lit("|"), "lane", F.lit("|"), "value").alias("item")))
@@ -98,22 +108,25 @@ def subprocess_scopes(models: Models) -> DataFrame:
     return own.withColumn("scope", F.when(F.col("name") != "", F.col("name")).otherwise(F.concat(F.lit("__sp"), place)))
 
 
-def subprocess_items(models: Models, values: DataFrame) -> DataFrame:
+def subprocess_items(models: Models, values: DataFrame | None) -> DataFrame:
     scopes = subprocess_scopes(models)
     names = scopes.filter("name <> ''").select("model_id", F.lit("subprocess_names").alias("key"), F.col("name").alias("item"))
     own = scopes.select("model_id", "subprocess_id", "scope")
-    refs = models.subprocess_member.join(own, ["model_id", "subprocess_id"]).join(values, ["model_id", "ref_id"]).filter("value <> ''")
+    refs = members(models.subprocess_member, "subprocess_member", values).join(own, ["model_id", "subprocess_id"])
     refs = refs.select("model_id", F.lit("subprocess_elemrefs").alias("key"), F.concat("scope", F.lit("|"), "value").alias("item"))
     flows = models.flow.filter("flow_kind = 'subprocess'").withColumnRenamed("owner", "subprocess_id")
-    flows = with_values(flows, values.withColumnRenamed("ref_id", "id")).filter("source <> '' and target <> ''").join(own, ["model_id", "subprocess_id"])
+    flows = flows if knows(flows, "flow") else with_values(flows, values.withColumnRenamed("ref_id", "id"))
+    flows = flows.filter("source <> '' and target <> ''").join(own, ["model_id", "subprocess_id"])
     flows = flows.select("model_id", F.lit("subprocess_flows").alias("key"), F.concat("scope", F.lit("|"), "source", F.lit("|"), "target").alias("item"))
     return names.unionByName(refs).unionByName(flows)
 
 
 def extract_items(models: Models) -> DataFrame:
-    """``model_id, key, item``: one row for each item of each family; items repeat. What ids stand for is written once, as five joins read it."""
-    values = staged(looked_up(models), "values")
-    contained = values.filter("contained is not null").select("model_id", F.col("id").alias("ref_id"), F.col("contained").alias("value"))
+    """``model_id, key, item``: one row for each item of each family; items repeat. What ids stand for is written once, as five joins read it, unless the tables know it."""
+    values = contained = None
+    if not all(knows(getattr(models, name), name) for name in KNOWN):
+        values = staged(looked_up(models), "values")
+        contained = values.filter("contained is not null").select("model_id", F.col("id").alias("ref_id"), F.col("contained").alias("value"))
     return node_items(models).unionByName(flow_items(models, values)).unionByName(lane_items(models, contained)).unionByName(subprocess_items(models, contained))
 
 

@@ -2,10 +2,11 @@
 
 import pytest
 
-from procsim.models import Models
+from procsim.models import KNOWN, Models
 from procsim.operators import explore, items, normalize, petri, rollup, viewer
 from procsim.plans import samples
 from procsim.plans.samples import END, START, process
+from procsim.sources import adapters
 from procsim.sources.load import load_texts, to_json
 
 
@@ -265,3 +266,25 @@ def test_documents_and_viewer(spark, loaded):
     assert '"elemRefs":["ue","us","ut"]' in text["claim.bpmn"]
     page = spark.range(1).select(viewer.viewer_html(viewer.F.lit("<x>`</script>"))).first()[0]
     assert "`" not in page and page.count("</script>") == 2
+
+
+def test_known_values_are_those_looked_up(spark):
+    """The nations' tables say what ids count as; looked up by id the items are the same, and renamed models say nothing of it."""
+    known = adapters.nation_models(spark, "/root/testdata/sf0.001")
+    plain = known.map(lambda name, table: table.drop(*KNOWN.get(name, ())))
+    one, two = (items.item_counts(items.extract_items(models)) for models in (known, plain))
+    assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0
+    mapping = spark.createDataFrame([], "model_a string, model_b string, scope string, name2 string, name1 string")
+    renamed = normalize.rename(known, spark.createDataFrame([("1", "2")], "model_a string, model_b string"), mapping)
+    assert not any(set(KNOWN[name]) & set(getattr(renamed, name).columns) for name in KNOWN)
+
+
+@pytest.mark.parametrize("by_lookup", [True, False])
+def test_items_of_known_values_take_no_lookup(spark, by_lookup, monkeypatch):
+    """With all values known no table of ids is written; each line of an order is dealt out twice, however many tables are read."""
+    made, write = [], items.staged
+    monkeypatch.setattr(items, "staged", lambda df, name: made.append(name) or write(df, name))
+    models = adapters.nation_models(spark, "/root/testdata/sf0.001")
+    models = models.map(lambda name, table: table.drop(*KNOWN.get(name, ()))) if by_lookup else models
+    plan = items.extract_items(models)._jdf.queryExecution().executedPlan().toString()
+    assert made == ["values"] * by_lookup and "lineitem.parquet" not in plan

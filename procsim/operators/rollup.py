@@ -111,7 +111,11 @@ def hybrid(structural: DataFrame, behavioral: DataFrame, structural_weight: floa
         ids = among.select("model_id").distinct()
         known = [left.select(f"model_{x}").distinct().join(ids.select(F.col("model_id").alias(f"model_{x}")), f"model_{x}").withColumn(f"known_{x}", F.lit(True)) for x in "ab"]
         alone = left.join(known[0], "model_a", "left").join(known[1], "model_b", "left").filter(~(F.col("model_a") < F.col("model_b")) | F.col("known_a").isNull() | F.col("known_b").isNull())
-        both = right.join(F.broadcast(left), ["model_a", "model_b"], "left").unionByName(alone.select("model_a", "model_b", "structural", F.lit(None).cast("double").alias("behavioral")))
+        firsts = [r["model_a"] for r in left.select("model_a").filter("model_a is not null").distinct().limit(1001).collect()]
+        own = F.col("model_a") if len(firsts) > 1000 else F.when(F.col("model_a").isin(firsts), F.col("model_a"))  # a null key is not looked up
+        sent = F.broadcast(left.select(F.col("model_a").alias("key_a"), F.col("model_b").alias("key_b"), "structural"))
+        met = right.join(sent, (own == F.col("key_a")) & (right["model_b"] == F.col("key_b")), "left").select("model_a", "model_b", "structural", "behavioral")
+        both = met.unionByName(alone.select("model_a", "model_b", "structural", F.lit(None).cast("double").alias("behavioral")))
     return both.select(
         "model_a", "model_b", "structural", "behavioral", score.alias("hybrid"), ws.alias("structural_weight"), wb.alias("behavioral_weight")
     )

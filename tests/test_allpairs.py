@@ -99,3 +99,19 @@ def test_reports_read_counted_pairs(spark, name, monkeypatch):
     monkeypatch.setattr(traces, "all_overlaps", None)
     assert QUERIES[name](spark, FOLDER).count() and len(kept) == (name == "report_top_pairs")
 
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_hybrid_of_all_pairs(spark, few):
+    """Pairs of either side or both, listed and unlisted models, nulls: the blend of sent rows is that of the full join."""
+    s = [("a", "b", 0.5), ("a", "c", None), ("b", "zz", 0.25), ("yy", "a", 1.0), ("c", "a", 0.75), (None, "a", 0.1)]
+    b = [("a", "b", 0.1), ("a", "c", 0.2), ("a", "d", 0.3), ("b", "c", 0.4), ("b", "d", None), ("c", "d", 0.6)]
+    structural, behavioral = spark.createDataFrame(s, "model_a string, model_b string, overall double"), spark.createDataFrame(b, "model_a string, model_b string, score double")
+    among = spark.createDataFrame([(m,) for m in "abcd"], "model_id string")
+    of = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert of(rollup.hybrid(structural, behavioral, 0.25, among, few)) == of(rollup.hybrid(structural, behavioral, 0.25))
+
+
+def test_hybrid_looks_up_few(spark):
+    """Only pairs whose first model has structural scores have a key to look up; doubles are rounded without text."""
+    plan = QUERIES["hybrid_0"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN model_a" in plan.split("Join LeftOuter", 1)[1].split("\n")[0] and "rint" in plan.lower()

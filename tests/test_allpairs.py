@@ -58,6 +58,57 @@ def test_first_traces_of_all_pairs(spark):
         assert sorted(map(tuple, got)) == sorted(map(tuple, listed))
 
 
+def test_first_traces_in_slices(spark, monkeypatch):
+    """More traces than a number has bits, few pairs a message and few matches at a time; models without traces, a null trace and one model alone."""
+    draw = random.Random(7)
+    rows = [(f"m{i:02}", [draw.choice("aäbcd") for _ in range(draw.randint(0, 3))]) for i in range(14) for _ in range(i * i * 4)]
+    cases = spark.createDataFrame(rows, "model_id string, trace array<string>")
+    ids = cases.select("model_id").unionByName(spark.createDataFrame([("m00",), ("zz",), (None,)], "model_id string"))
+    first = lambda ids, cases=cases, block=5: allpairs.first_texts(cases.withColumnRenamed("trace", "token"), ids, F.array_join("token", ">"), block)
+    whole = first(ids)
+    assert whole.columns == ["model_a", "model_b", "side", "n", "first"]
+    want = sorted(map(tuple, whole.collect()))
+    listed = traces.shared_firsts(cases, rollup.all_pairs(ids)).select("model_a", "model_b", "side", "n", "first_trace").collect()
+    assert want == sorted(map(tuple, listed)) and want
+    assert first(ids.filter("model_id = 'm03'")).count() == 0
+    null = spark.createDataFrame([("a", None), ("b", None), ("b", ["x"])], "model_id string, trace array<string>")
+    assert sorted(map(tuple, first(null.select("model_id"), null).collect())) == [("a", "b", "1", 1, None), ("a", "b", "2", 2, "x")]
+    assert max(r["n"] for r in whole.filter("side = 'both'").select("n").collect()) > allpairs.BITS
+    monkeypatch.setattr(allpairs, "CODED", 7)
+    monkeypatch.setattr(allpairs, "MATCHES", 40)
+    assert sorted(map(tuple, first(ids).collect())) == want
+
+
+def test_least_places(monkeypatch):
+    monkeypatch.setattr(allpairs, "BITS", 2)
+    draw = np.random.default_rng(2)
+    for most in range(8):
+        every = draw.random((50, most)) < 0.6
+        pair, at = np.nonzero(every)
+        bits = allpairs.held(pair, at, 50, most)
+        for of in (True, False):
+            want = [next((k for k in range(most) if row[k] == of), most) for row in every]
+            assert np.broadcast_to(allpairs.least(bits, most, of), 50).tolist() == want
+
+
+def test_texts_are_sent_once_a_message(spark, monkeypatch):
+    """What Python hands over of a pair is some numbers; ids and texts go once a message."""
+    caught = {}
+
+    def tiled(blocks, schema, work):
+        caught.update(blocks=[pa.ipc.open_stream(r["payload"]).read_all() for r in blocks.orderBy("key").collect()], work=work)
+        return made(blocks, schema, work)
+
+    made = allpairs.tiled
+    monkeypatch.setattr(allpairs, "tiled", tiled)
+    long = "y" * 200
+    cases = spark.createDataFrame([(f"m{i:03}", [long, f"{i % (j + 2)}"]) for i in range(120) for j in range(4)], "model_id string, token array<string>")
+    rows = allpairs.first_texts(cases, cases.select("model_id"), F.array_join("token", ">"), 60).count()
+    first, second = caught["blocks"]
+    sent = sum(b.nbytes for x, y in ((first, first), (first, second), (second, second)) for b in caught["work"](x.combine_chunks(), y.combine_chunks(), x is y))
+    assert rows > 120 * 119 // 2 and sent < 24 * rows
+
+
 @pytest.mark.parametrize("name", ["shared_variants", "ngram_sim_2_recall", "ngram_sim_3_jaccard", "behavioral_active_3", "trace_compare"])
 def test_pairs_are_not_shuffled(spark, name):
     """Nothing but projections and lookups stands between the blocks' pairs and the result."""
